@@ -69,14 +69,14 @@ def heavy_keys(left: DataFrame, key: str) -> DataFrame:
     return left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > least) & F.col(key).isNotNull()).select(key)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
     """Join where `left` may hold a third of its rows under one key and `right` is unique by key.
 
     Rows of `right` under a heavy key number fewer than HEAVY_PARTS, so they are broadcast; the
     other keys hold at most 1/HEAVY_PARTS of the rows each and go through an ordinary shuffle.
-    `how` is inner, left or left_semi.
+    `how` is inner, left or left_semi. `heavy` gives the heavy keys where the caller has counted.
     """
-    heavy = cut(heavy_keys(left, key))
+    heavy = cut(heavy_keys(left, key) if heavy is None else heavy.select(key))
     bound = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
     marked = left.join(bound, key, "left")
     hot, cold = marked.where("_heavy").drop("_heavy"), marked.where("_heavy is null").drop("_heavy")

@@ -119,12 +119,17 @@ def hue_key(color: str | Column = "dom_color") -> Column:
     return F.when(col(color).isNull(), make(2, z, z)).when(x["s"] < _f(F.lit(0.15)), make(1, whole(x["l"], 1000), z)).otherwise(make(0, whole(x["h"], 10), whole(x["l"], 1000)))
 
 
+def _fixed(x: Column, places: int) -> Column:
+    """Fixed decimals, rounded from the exact binary value (format_string rounds the shortest decimal text instead)."""
+    return F.translate(F.format_number(x, places), ",", "")
+
+
 def human_bytes(size: str | Column) -> Column:
     """`1.4 GB`: whole bytes under 1024, else one decimal up to TB."""
     b = col(size)
     out = F.when(b < 1024, F.concat(b.cast("string"), F.lit(" B")))
     for k, unit in enumerate(UNITS[1:], 1):
-        text = F.concat(F.format_string("%.1f", b.cast("double") / float(1024**k)), F.lit(f" {unit}"))
+        text = F.concat(_fixed(b.cast("double") / float(1024**k), 1), F.lit(f" {unit}"))
         out = out.when(b < 1024 ** (k + 1), text) if k < len(UNITS) - 1 else out.otherwise(text)
     return F.when(b.isNotNull(), out)
 
@@ -132,7 +137,7 @@ def human_bytes(size: str | Column) -> Column:
 def coords_text(lat: str | Column = "lat", lon: str | Column = "lon") -> Column:
     a, o = col(lat), col(lon)
     side = lambda c, plus, minus: F.when(c >= 0, plus).otherwise(minus)
-    text = F.format_string("%.5f°%s, %.5f°%s", F.abs(a), side(a, "N", "S"), F.abs(o), side(o, "E", "W"))
+    text = F.concat(_fixed(F.abs(a), 5), F.lit("°"), side(a, "N", "S"), F.lit(", "), _fixed(F.abs(o), 5), F.lit("°"), side(o, "E", "W"))
     return F.when(a.isNotNull() & o.isNotNull(), text)
 
 

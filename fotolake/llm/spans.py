@@ -16,12 +16,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fotolake.runtime import cut, skew_join
+from fotolake.runtime import HEAVY_PARTS, cut, skew_join
 
 MIN_CHARS = 300
 #: Characters of text aimed at per shard, and of a phrase's head that goes into an automaton (the rest is compared).
 SHARD_CHARS, HEAD_CHARS = 2_000_000, 32
+#: Bits of the filter on document ids (broadcast as at most FILTER_BITS / 64 rows of two longs).
+FILTER_BITS = 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 _POWERS = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -95,18 +98,14 @@ def _around(low: np.ndarray, n: int, w: int) -> np.ndarray:
 
 
 def _phrases(docs: DataFrame, size: int, k: int) -> DataFrame:
+    """The distinct sampled phrases of each document."""
+
     def run(batches):
         for pdf in batches:
-            ids, hs = [], []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                _, h = sampled(text, size, k)
-                h = np.unique(h)
-                ids.append(np.full(len(h), doc, np.int64))
-                hs.append(h.view(np.int64))
-            if ids:
-                yield pd.DataFrame({"doc_id": np.concatenate(ids), "phrase": np.concatenate(hs)})
+            kept = [np.unique(sampled(text, size, k)[1]).view(np.int64) for text in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "phrases": kept})
 
-    return docs.mapInPandas(run, "doc_id long, phrase long")
+    return docs.mapInPandas(run, "doc_id long, phrases array<long>")
 
 
 def _spread(starts: np.ndarray, lo: int, hi: int, limit: int) -> np.ndarray:
@@ -118,6 +117,17 @@ def _spread(starts: np.ndarray, lo: int, hi: int, limit: int) -> np.ndarray:
     return np.nonzero(np.cumsum(mark)[: limit + 1] > 0)[0]
 
 
+def _as_runs(starts: np.ndarray) -> np.ndarray:
+    """Rising integers as (first, count) of each stretch without gaps."""
+    first = np.nonzero(np.concatenate(([True], np.diff(starts) != 1)))[0]
+    return np.stack([starts[first], np.diff(np.append(first, len(starts)))], axis=1).astype(np.int64)
+
+
+def _from_runs(runs: bytes) -> np.ndarray:
+    pairs = np.frombuffer(runs, np.int64).reshape(-1, 2)
+    return np.concatenate([np.arange(a, a + n) for a, n in pairs])
+
+
 def _locate(size: int, k: int):
     """One shard: an automaton of its documents' recurring phrases, and the windows around all occurrences."""
 
@@ -131,7 +141,7 @@ def _locate(size: int, k: int):
         for head, whole in heads.items():
             auto.add_word(head, (len(head), tuple(whole)))
         auto.make_automaton()
-        out = {"doc_id": [], "starts": [], "hashes": []}
+        out = {"doc_id": [], "runs": [], "hashes": []}
         for doc, text in zip(pdf["doc_id"], pdf["text"]):
             hits = []
             for end, (n, whole) in auto.iter(text):
@@ -141,31 +151,40 @@ def _locate(size: int, k: int):
             if hits:
                 starts = _spread(np.array(hits, np.int64), size - k, 0, len(text) - size)
                 out["doc_id"].append(doc)
-                out["starts"].append(starts.astype(np.int32).tobytes())
+                out["runs"].append(_as_runs(starts).tobytes())
                 out["hashes"].append(Rolling(code_points(text)).windows(size, starts).tobytes())
         return pd.DataFrame({"shard": int(pdf["shard"].iloc[0]), **out})
 
     return run
 
 
-def _distinct_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The distinct windows of one shard with the smallest and largest document that has each."""
+def _windows_by_doc(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows of one shard, rising, and whether two or more of its documents have each."""
     hs = [np.frombuffer(b, np.int64) for b in pdf["hashes"]]
+    if not hs:
+        return np.empty(0, np.int64), np.empty(0, bool)
     h = np.concatenate(hs)
     d = np.repeat(pdf["doc_id"].to_numpy(np.int64), [len(x) for x in hs])
     by = np.lexsort((d, h))
     h, d = h[by], d[by]
     first = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
     last = np.concatenate((first[1:], [len(h)])) - 1
-    return pd.DataFrame({"shard": int(pdf["shard"].iloc[0]), "window": h[first], "lo": d[first], "hi": d[last]})
+    return h[first], d[first] != d[last]
+
+
+def _distinct_windows(pdf: pd.DataFrame) -> pd.DataFrame:
+    h, several = _windows_by_doc(pdf)
+    return pd.DataFrame({"shard": int(pdf["shard"].iloc[0]), "window": h, "several": several})
 
 
 def _cover(size: int):
-    def run(key, held: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        good = np.sort(shared["window"].to_numpy(np.int64)) if len(shared) else np.empty(0, np.int64)
+    def run(key, held: pd.DataFrame, elsewhere: pd.DataFrame) -> pd.DataFrame:
+        h, several = _windows_by_doc(held)
+        good = np.concatenate((h[several], elsewhere["window"].to_numpy(np.int64) if len(elsewhere) else h[:0]))
+        good.sort()
         ids, chars = [], []
-        for doc, s, h in zip(held["doc_id"], held["starts"], held["hashes"]):
-            s, h = np.frombuffer(s, np.int32), np.frombuffer(h, np.int64)
+        for doc, s, h in zip(held["doc_id"], held["runs"], held["hashes"]):
+            s, h = _from_runs(s), np.frombuffer(h, np.int64)
             i = np.minimum(np.searchsorted(good, h), max(len(good) - 1, 0))
             on = s[good[i] == h] if len(good) else s[:0]
             if len(on):
@@ -188,16 +207,26 @@ def shared_spans(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     k = max(1, min_chars // 2)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"doc_id is not null and char_length(text) >= {int(min_chars)}")
     found = cut(_phrases(d, min_chars, k))
-    recurring = found.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("phrase")
-    hits = skew_join(found, recurring, "phrase", "left_semi")
+    phrases = found.select("doc_id", F.explode("phrases").alias("phrase"))
+    counted = phrases.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    recurring = cut(counted.where("lo < hi").select("phrase", "n"))
+    least = max(1_000, (found.agg(F.sum(F.size("phrases"))).first()[0] or 0) // HEAVY_PARTS)
+    hits = skew_join(phrases, recurring.select("phrase"), "phrase", "left_semi", heavy=recurring.where(F.col("n") > least))
     per_doc = cut(hits.groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases")))  # a document's own phrases: under 2 % of its length
-    total = d.join(per_doc.select("doc_id"), "doc_id", "left_semi").agg(F.sum(F.char_length("text"))).first()[0] or 0
+    # texts without recurring phrases are told by a bitmap of fixed size, before any text is shuffled
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = per_doc.select(spot.alias("_s")).groupBy(F.expr("_s div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_s % 64 as int))")).alias("_bits"))
+    maybe = d.withColumn("_s", spot).withColumn("_word", F.expr("_s div 64")).join(F.broadcast(bits), "_word")
+    maybe = maybe.where(F.expr("(_bits & shiftleft(1L, cast(_s % 64 as int))) <> 0")).select("doc_id", "text")
+    texts = maybe.join(per_doc, "doc_id").dropDuplicates(["doc_id"])
+    total = d.select("doc_id", F.char_length("text").alias("_n")).join(per_doc.select("doc_id"), "doc_id", "left_semi").agg(F.sum("_n")).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_CHARS))
-    texts = d.join(per_doc, "doc_id").dropDuplicates(["doc_id"]).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    located = cut(texts.groupBy("shard").applyInPandas(_locate(min_chars, k), "shard long, doc_id long, starts binary, hashes binary"))
-    windows = cut(located.groupBy("shard").applyInPandas(_distinct_windows, "shard long, window long, lo long, hi long"))
-    # a window is now one row per shard at most, however many documents have it
-    twice = windows.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("window")
-    shared = windows.join(twice, "window", "left_semi").select("shard", "window")
+    texts = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    located = cut(texts.groupBy("shard").applyInPandas(_locate(min_chars, k), "shard int, doc_id long, runs binary, hashes binary"))
+    # a window is one row per shard at most, however many documents have it. A document is in one
+    # shard, so a window in two shards is in two documents; what a shard has twice it knows itself.
+    windows = located.groupBy("shard").applyInPandas(_distinct_windows, "shard int, window long, several boolean")
+    everywhere = Window.partitionBy("window")
+    shared = windows.withColumn("_n", F.count(F.lit(1)).over(everywhere)).where("_n > 1 and not several").select("shard", "window")
     schema = "doc_id long, shared_chars long"
     return located.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(_cover(min_chars), schema)

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from fotolake.runtime import cut, slots
 
 #: Codes per shard, links given per code (kept up to twice as many), entry codes, codes expanded per step.
-SHARD_CODES, LINKS, ENTRIES, EXPAND = 131_072, 16, 4_096, 8
+SHARD_CODES, LINKS, ENTRIES, EXPAND = 196_608, 24, 4_096, 8
 #: Beams tried in turn, the recall to reach, probes per shard.
-BEAMS, TARGET_RECALL, PROBES = (64, 96, 128, 192, 256, 384), 0.995, 512
+BEAMS, TARGET_RECALL, PROBES = (32, 48, 64, 96, 128, 192, 256, 384), 0.995, 512
 BUILD_BEAM, BATCH = 48, 1_024
 _U = np.uint32
 _FAR = _U(0xFFFFFFFF)
@@ -44,47 +44,75 @@ def beam_search(q: np.ndarray, codes: np.ndarray, links: np.ndarray, n: int, bea
         cur[:, :e] = cells
     cur.sort(axis=1)
     out, active = cur.copy(), np.arange(len(q))
-    column = np.arange(beam, dtype=np.int16)[None, :]
+    width = links.shape[1]
+    room = np.empty((len(q), beam + EXPAND * width), _U)
     while len(active):
-        pick = np.where((cur & _U(1)) == 0, column, np.int16(beam))
-        pick = np.partition(pick, EXPAND - 1, axis=1)[:, :EXPAND]
-        alive = (pick < beam).any(axis=1)
+        todo = np.where((cur & _U(1)) == 0, cur, _FAR)
+        todo.partition(EXPAND - 1, axis=1)
+        todo = todo[:, :EXPAND]
+        alive = (todo != _FAR).any(axis=1)
         if not alive.all():
             out[active[~alive]] = cur[~alive]
-            active, cur, q, pick = active[alive], cur[alive], q[alive], pick[alive]
+            active, cur, q, todo = active[alive], cur[alive], q[alive], todo[alive]
             if not len(active):
                 break
-        rows = np.arange(len(active))[:, None]
-        none = pick >= beam
-        pick = np.where(none, 0, pick)
-        near = links.take(((cur[rows, pick] & _ID) >> _U(1)).astype(np.intp), axis=0)
-        cur[rows, pick] |= _U(1)
-        new = hamming(codes.take(near), q[:, None, None]).astype(_U) << _U(25)
-        new |= near.astype(_U) << _U(1)
+        cur[cur <= todo.max(axis=1)[:, None]] |= _U(1)  # the best not yet expanded are those up to the last of them
+        none = todo == _FAR
+        near = links.take(np.where(none, 0, (todo & _ID) >> _U(1)), axis=0)
+        every = room[: len(active)]
+        every[:, :beam] = cur
+        new = every[:, beam:].reshape(len(active), EXPAND, width)
+        np.left_shift(hamming(codes.take(near), q[:, None, None]), _U(25), out=new, dtype=_U, casting="unsafe")
+        new |= near.view(_U) << _U(1)
         new[none] = _FAR
-        every = np.concatenate([cur, new.reshape(len(active), -1)], axis=1)
         every.sort(axis=1)
         twice = (every[:, 1:] ^ every[:, :-1]) <= 1  # same code: the expanded cell sorts last and stays
         every[:, :-1][twice] = _FAR
-        every.sort(axis=1)
+        every.partition(beam - 1, axis=1)
         cur = every[:, :beam].copy()
+    out.sort(axis=1)
     return out
 
 
-def build_graph(codes: np.ndarray) -> np.ndarray:
-    """Links of each code (its own number fills free places)."""
+def both_ways(codes: np.ndarray, forward: np.ndarray) -> np.ndarray:
+    """The graph to search: each code's own links and those back to it, the closest 2 x LINKS of them."""
+    n, width = len(codes), 2 * LINKS
+    a = np.repeat(np.arange(n, dtype=np.uint64), forward.shape[1])
+    b = forward.ravel().astype(np.uint64)
+    a, b = a[a != b], b[a != b]
+    far = hamming(codes[a.astype(np.intp)], codes[b.astype(np.intp)]).astype(np.uint64) << np.uint64(25)
+    key = np.concatenate([(a << np.uint64(32)) | far | b, (b << np.uint64(32)) | far | a])
+    del a, b, far
+    key.sort()
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]]
+    node = (key >> np.uint64(32)).astype(np.int32)
+    start = np.concatenate(([True], node[1:] != node[:-1]))[: len(node)]
+    place = np.arange(len(key), dtype=np.int32)
+    place -= np.maximum.accumulate(np.where(start, place, 0))
+    keep = place < width
+    links = np.repeat(np.arange(n, dtype=np.int32)[:, None], width, axis=1)
+    links[node[keep], place[keep]] = (key[keep] & np.uint64(0x1FFFFFF)).astype(np.int32)
+    return links
+
+
+def build_graph(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(own links, links both ways) of each code; its own number fills free places.
+
+    Only the own links are stored: the others follow from them (`both_ways`).
+    """
     total, width = len(codes), 2 * LINKS
+    forward = np.repeat(np.arange(total, dtype=np.int32)[:, None], LINKS, axis=1)
     links = np.repeat(np.arange(total, dtype=np.int32)[:, None], width, axis=1)
     n = min(total, 256)
     d = hamming(codes[:n, None], codes[None, :n]).astype(np.int64)
     np.fill_diagonal(d, 99)
     first = np.argsort(d, axis=1, kind="stable")[:, : min(LINKS, n - 1)]
-    links[:n, : first.shape[1]] = first
+    links[:n, : first.shape[1]] = forward[:n, : first.shape[1]] = first
     while n < total:
         m = min(total, n + n // 2 + 1, n + 8_192)
         for s in range(n, m, BATCH):
             got = beam_search(codes[s : min(m, s + BATCH)], codes, links, n, BUILD_BEAM)
-            links[s : min(m, s + BATCH), :LINKS] = (got[:, :LINKS] & _ID) >> _U(1)
+            forward[s : min(m, s + BATCH)] = links[s : min(m, s + BATCH), :LINKS] = (got[:, :LINKS] & _ID) >> _U(1)
         # links back, the closest kept
         src, dst = np.repeat(np.arange(n, m), LINKS), links[n:m, :LINKS].ravel().astype(np.int64)
         by = np.argsort(dst, kind="stable")
@@ -100,7 +128,7 @@ def build_graph(codes: np.ndarray) -> np.ndarray:
         key.sort(axis=1)
         links[node] = key[:, :width] & 0xFFFFFFFF
         n = m
-    return links
+    return forward, links
 
 
 def within(q: np.ndarray, codes: np.ndarray, links: np.ndarray, beam: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,9 +179,9 @@ def build_shards(codes: DataFrame, radius: int) -> DataFrame:
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         codes = np.sort(pdf["phash"].to_numpy(np.int64)).view(np.uint64)
         np.random.default_rng(0).shuffle(codes)
-        links = build_graph(codes)
+        forward, links = build_graph(codes)
         beam, recall = tuned_beam(codes, links, radius)
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "segment": [int(pdf["segment"].iloc[0])], "codes": [codes.tobytes()], "links": [links.tobytes()], "n": [len(codes)], "beam": [beam], "recall": [recall]})
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "segment": [int(pdf["segment"].iloc[0])], "codes": [codes.tobytes()], "links": [forward.tobytes()], "n": [len(codes)], "beam": [beam], "recall": [recall]})
 
     return placed.select("shard", "segment", "phash").groupBy("shard").applyInPandas(build, SHARD_SCHEMA)
 
@@ -163,10 +191,10 @@ def search_shards(queries: DataFrame, shards: DataFrame, radius: int) -> DataFra
 
     A stated query set against every shard, in blocks: each block of queries meets each shard once.
     """
-    spark = queries.sparkSession
     q = queries.where("phash is not null").select("segment", F.col("phash").alias("q")).distinct()
     names = shards.selectExpr("shard + 0 AS shard", "segment + 0 AS hit_segment")
-    blocks = max(1, min(slots(spark), -(-q.count() // (4 * BATCH))))
+    # a block per shard moves the shard once more, so only as many as keep all tasks busy
+    blocks = max(1, min(-(-slots(queries.sparkSession) // max(1, shards.count())), -(-q.count() // (4 * BATCH))))
     met = q.join(F.broadcast(names), F.col("segment") > F.col("hit_segment"))  # a row per shard: counts and ids, not codes
     met = met.select("shard", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), "segment", "q")
     copies = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -176,7 +204,7 @@ def search_shards(queries: DataFrame, shards: DataFrame, radius: int) -> DataFra
             return pd.DataFrame({"segment": [], "q": [], "phash": [], "hit_segment": [], "distance": []})
         r = right.iloc[0]
         codes = np.frombuffer(r["codes"], np.uint64)
-        links = np.frombuffer(r["links"], np.int32).reshape(len(codes), -1)
+        links = both_ways(codes, np.frombuffer(r["links"], np.int32).reshape(len(codes), -1))
         distinct, back = np.unique(left["q"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
         a, b = within(distinct, codes, links, int(r["beam"]), radius)
         hits = pd.DataFrame({"u": a, "phash": codes[b].view(np.int64), "distance": hamming(distinct[a], codes[b]).astype(np.int32)})
@@ -212,18 +240,19 @@ def history_matches(history: DataFrame, incoming: DataFrame, *, radius: int = 6)
     `radius` apart. Null hashes and codes match nothing; rows without id or batch are left out;
     repeated rows count once; batches need not be numbered from 1. Empty tables give no rows.
     """
-    old = history.select(F.lit(-(1 << 31)).cast("int").alias("segment"), "id", F.lower("content_hash").alias("hash"), "phash")
+    first = -(1 << 31)
+    old = history.select(F.lit(first).cast("int").alias("segment"), "id", F.lower("content_hash").alias("hash"), "phash")
     new = incoming.select(F.col("batch_no").cast("int").alias("segment"), "id", F.lower("content_hash").alias("hash"), "phash")
-    rows = cut(old.unionByName(new).where("id is not null and segment is not null").distinct())
-    new = rows.where(F.col("segment") > -(1 << 31))
+    rows = old.unionByName(new).where("id is not null and segment is not null")
+    asked = rows.where(F.col("segment") > first)
     # equal contents: an equi-join; what a hash held by many rows yields is the result itself
-    a = new.where("hash is not null").select("hash", F.col("id").alias("x"), F.col("segment").alias("xs"))
+    a = asked.where("hash is not null").select("hash", F.col("id").alias("x"), F.col("segment").alias("xs"))
     b = rows.where("hash is not null").select("hash", F.col("id").alias("y"), F.col("segment").alias("ys"))
     same = a.join(b, "hash").where("xs > ys").select("x", "y")
     shards = cut(build_shards(rows.select("segment", "phash"), radius))
-    hits = cut(search_shards(new.select("segment", "phash"), shards, radius))
-    asked = new.select("segment", F.col("phash").alias("q"), F.col("id").alias("x"))
+    hits = cut(search_shards(asked.select("segment", "phash"), shards, radius))
+    by_code = asked.select("segment", F.col("phash").alias("q"), F.col("id").alias("x"))
     known = rows.select(F.col("segment").alias("hit_segment"), "phash", F.col("id").alias("y"))
-    near = hits.join(asked, ["segment", "q"]).join(known, ["hit_segment", "phash"]).select("x", "y")
+    near = hits.join(by_code, ["segment", "q"]).join(known, ["hit_segment", "phash"]).select("x", "y")
     pairs = same.unionByName(near).where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return pairs.distinct()

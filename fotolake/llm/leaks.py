@@ -1,8 +1,9 @@
 """Evaluation items leaking into documents: rare n-gram seeds, then Smith-Waterman alignment.
 
-Every run of `run` words of an item has one seed: its rarest n-gram, by the number of documents that
+Every run of `run` words of an item has a seed: its rarest n-gram, by the number of documents that
 hold it. A document sharing the run holds that seed, so seeds lose nothing, and phrases found
-everywhere seed only where nothing rarer exists. Seeds join documents to items; around them the two
+everywhere seed only where nothing rarer exists. All other n-grams in few documents are seeds too, for
+copies edited so much that no run is left. Seeds join documents to items; around them the two
 texts are aligned word by word, which scores edited copies and measures the longest exact run.
 """
 
@@ -23,6 +24,8 @@ from fotolake.runtime import cut, skew_join
 WORD = re.compile(r"[^\W_]+")
 #: Words in a seed, and the exact run that makes a leak.
 SEED_WORDS, RUN_WORDS = 5, 13
+#: An n-gram in up to so many documents is rare: it seeds wherever it stands.
+RARE_DOCS = 1_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Distinct n-grams of items broadcast at most (about 100 bytes each on a worker); beyond that documents' n-grams are joined by shuffle.
 BROADCAST_GRAMS = 200_000
@@ -112,7 +115,7 @@ def _scan_all(docs: DataFrame, grams: DataFrame, n: int) -> DataFrame:
 
 
 def seeds(grams: DataFrame, frequency: DataFrame, n: int, run: int) -> DataFrame:
-    """Per item the rarest n-gram of every window of `run` words (of the whole item if shorter): cls, gram."""
+    """Per item its rare n-grams, and the rarest of every window of `run` words (of the whole item if shorter): cls, gram."""
     g = grams.join(frequency, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     last = Window.partitionBy("cls").orderBy("pos").rowsBetween(0, run - n)
     whole = Window.partitionBy("cls")
@@ -120,8 +123,8 @@ def seeds(grams: DataFrame, frequency: DataFrame, n: int, run: int) -> DataFrame
     pick = F.min(F.when(F.col("df") > 0, F.struct("df", "gram"))).over(last)
     g = g.withColumn("pick", pick).withColumn("top", F.max("pos").over(whole))
     # windows that reach past the item's end are parts of the last full one
-    g = g.where((F.col("pos") <= F.greatest(F.col("top") - (run - n), F.lit(0))))
-    return g.select("cls", F.col("pick.gram").alias("gram")).where("gram is not null").distinct()
+    rarest = g.where((F.col("pos") <= F.greatest(F.col("top") - (run - n), F.lit(0)))).select("cls", F.col("pick.gram").alias("gram")).where("gram is not null")
+    return rarest.unionByName(g.where(f"df between 1 and {RARE_DOCS}").select("cls", "gram")).distinct()
 
 
 def align(item: list[str], doc: list[str]) -> tuple[int, int]:

@@ -125,7 +125,8 @@ def interpretations(text: str | None, zone_name: str | None, conventions: frozen
     """All (format number, microseconds since 1970 UTC) a text can mean; empty for junk, nulls and impossible dates.
 
     Outer blanks don't matter. Bare numbers count from 1970 in seconds (10 digits, perhaps with
-    decimals), milliseconds (13) or microseconds (16). Digits beyond microseconds are cut off.
+    decimals), milliseconds (13) or microseconds (16). Digits beyond microseconds are cut off. Two
+    formats may give one instant (05/05/2021): both are listed, as the format matters to the search.
     """
     if text is None or not (t := text.strip()) or len(t) > 200:
         return []
@@ -139,5 +140,5 @@ def interpretations(text: str | None, zone_name: str | None, conventions: frozen
         wall = _wall(y, mo, d, g)
         if wall is not None:
             k = FORMATS.index(name)
-            out += [(k, us) for us in _instants(wall, g["off"], zone) if all(us != u for _, u in out)]
+            out += [(k, us) for us in _instants(wall, g["off"], zone)]
     return out

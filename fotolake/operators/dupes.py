@@ -48,7 +48,9 @@ def near_pairs(rows: DataFrame, threshold: int = 6, by_kind: bool = False) -> Da
 
 def near_members(rows: DataFrame, threshold: int = 6, by_kind: bool = False) -> DataFrame:
     """Members of near groups: rows linked directly or through others, groups of identical files left out."""
-    r = _scope(rows, by_kind).where("phash is not null")
+    # the rows are needed several times and may come from costly joins: computed once
+    rows = cut(rows.withColumn("kind", m.known_kind("kind")).where("phash is not null"))
+    r = _scope(rows, by_kind)
     # a vertex is a hash within its scope; its class name is the least row id, so labels are ids
     names = cut(r.groupBy("scope", "phash").agg(F.min("id").alias("name")))
     p = near_pairs(rows, threshold, by_kind)
@@ -56,7 +58,7 @@ def near_members(rows: DataFrame, threshold: int = 6, by_kind: bool = False) ->
     roots = components(p.select("na", "nb"), "na", "nb")
     labelled = names.join(roots.withColumnRenamed("v", "name"), "name", "left").select("scope", "phash", F.coalesce("root", "name").alias("root"))
     out = r.join(labelled, ["scope", "phash"]).withColumn("group_key", F.col("root").cast("string")).drop("root")
-    return _not_all_same(out).withColumn("dup_kind", F.lit(NEAR)).select(*_member_cols(rows))
+    return cut(_not_all_same(cut(out)).withColumn("dup_kind", F.lit(NEAR)).select(*_member_cols(rows)))
 
 
 def _member_cols(rows: DataFrame) -> list[str]:

@@ -53,31 +53,39 @@ def hamming_pairs(hashes: DataFrame, radius: int, *, scope: str | None = None) -
     b = keyed.withColumnRenamed("phash", "b")
     met = a.join(b, [*keep, "choice", "key"]).where("a < b").withColumn("distance", hamming("a", "b")).where(F.col("distance") <= radius)
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    firsts = F.array(*[F.lit(c) for c in choices])
-    first = F.array_position(F.transform(firsts, lambda c: (differ.bitwiseAND(c) == 0)), F.lit(True)) - 1
+    first = F.lit(None).cast("int")
+    for i, c in reversed(list(enumerate(choices))):
+        first = F.when(differ.bitwiseAND(F.lit(c)) == 0, i).otherwise(first)
     return met.where(F.col("choice") == first).select(*keep, "a", "b", "distance")
 
 
-def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of pairs: v, root (the least value reachable).
+def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 4) -> DataFrame:
+    """Connected components of pairs: v, root (the least value reachable). Null ends link nothing.
 
-    Alternating rounds: every vertex's larger neighbours hang on its least one, then its smaller
-    ones do, until nothing moves; each round is linear in the pairs and a logarithmic number of
-    rounds is needed.
+    Contraction by random priorities: for a few rounds every vertex takes over the best priority
+    around it, then vertices that follow the same one contract and the remaining pairs go to the
+    next level. Each round reads the state once, so a level's rounds are one plan; its aggregation
+    is partly done before the shuffle, and a hub's joins are split by the planner's skew handling.
     """
-    e = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = cut(e)
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = skew_join(both, low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = skew_join(large, low2, "u")
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
-        small = cut(small)
-        if small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty():
-            break
-        e = small
-    roots = e.select(F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(roots.select(F.col("root").alias("v"), "root"))
+    edges = cut(pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct())
+    levels: list[DataFrame] = []
+    while not edges.isEmpty():
+        both = edges.select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(edges.select(F.col("y").alias("src"), F.col("x").alias("dst")))
+        loops = both.select("src", F.col("src").alias("dst")).distinct()
+        arcs = cut(both.unionByName(loops))
+        state = loops.select("src", F.xxhash64("src", F.lit(len(levels))).alias("key"), F.col("src").alias("label"))
+        for _ in range(rounds):
+            best = F.min(F.struct("key", "label")).alias("best")
+            state = arcs.join(state, "src").groupBy(F.col("dst").alias("src")).agg(best).select("src", "best.key", "best.label")
+        state = cut(state.select("src", "label"))
+        levels.append(state.withColumnRenamed("src", "v"))
+        ends = arcs.where("src <> dst").join(state, "src").groupBy(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q"))
+        edges = cut(ends.agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("x", "y").distinct())
+    if not levels:
+        return pairs.select(F.col(a).alias("v"), F.col(b).alias("root")).where("false")
+    root = levels[-1].withColumnRenamed("label", "root")
+    for below in reversed(levels[:-1]):
+        up = root.select(F.col("v").alias("label"), "root")
+        root = skew_join(below, up, "label", "left").select("v", F.coalesce("root", "label").alias("root"))
+    names = root.groupBy("root").agg(F.min("v").alias("least"))
+    return root.join(names, "root").select("v", F.col("least").alias("root"))

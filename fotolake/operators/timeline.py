@@ -146,28 +146,21 @@ def resolve_instants(values: DataFrame, *, conventions: frozenset = STATED) -> D
     read_rows = cut(ranged.mapInPandas(read, base + ", formats array<int>, instants array<long>").withColumn("pid", F.spark_partition_id()))
 
     def borders(batches):
-        # the first and last run of a partition, in pieces of Arrow batches
-        head, tail, key, pid = None, [], None, None
-        done = []
-
-        def close():
-            if tail:
-                done.append((key, tail[0], tail[-1], summary(tail)))
-                if len(done) > 2:
-                    del done[1]
-
+        # only the first and the last run of a partition can go on elsewhere
+        first, last, pid = None, None, None
         for pdf in batches:
             pdf = pdf[pdf["formats"].map(len) > 0]
             values = _values(pdf)
             for k, a, b in _runs(pdf):
                 pid = int(pdf["pid"].iloc[0])
-                if k != key:
-                    close()
-                    tail, key = [], k
-                tail = tail + values[a:b]
-        close()
-        for k, first, last, cost in done:
-            yield pd.DataFrame({"pid": [pid], "source": [k[0]], "field_name": [k[1]], "f0": [first[0]], "u0": [first[1]], "f1": [last[0]], "u1": [last[1]], "cost": [[c for row in cost for c in row]]})
+                if last is not None and last[0] == k:
+                    last[1].extend(values[a:b])
+                    continue
+                first = first or last
+                last = (k, values[a:b])
+        for k, run in [r for r in (first, last) if r]:
+            cost = summary(run)
+            yield pd.DataFrame({"pid": [pid], "source": [k[0]], "field_name": [k[1]], "f0": [run[0][0]], "u0": [run[0][1]], "f1": [run[-1][0]], "u1": [run[-1][1]], "cost": [[c for row in cost for c in row]]})
 
     ends = read_rows.mapInPandas(borders, "pid int, source string, field_name string, f0 array<int>, u0 array<long>, f1 array<int>, u1 array<long>, cost array<double>").collect()
     chains: dict[tuple, list[dict]] = {}
@@ -177,36 +170,37 @@ def resolve_instants(values: DataFrame, *, conventions: frozenset = STATED) -> D
         chains.setdefault((r.source, r.field_name), []).append({"key": (r.pid, r.source, r.field_name), "first": (r.f0, r.u0), "last": (r.f1, r.u1), "cost": cost})
     fixed = {k: v for runs in chains.values() if len(runs) > 1 for k, v in settle(runs).items()}
 
-    def solve(batches):
-        held: list[pd.DataFrame] = []
-        key = None
-
-        def close():
-            if not held:
-                return
-            pdf = pd.concat(held) if len(held) > 1 else held[0]
-            known = pdf["formats"].map(len) > 0
-            run = pdf[known]
-            utc = pd.Series(pd.NA, index=range(len(pdf)), dtype="Int64")
-            name = pd.Series(None, index=range(len(pdf)), dtype=object)
-            if len(run):
-                values = _values(run)
-                start, stop = fixed.get((int(run["pid"].iloc[0]), *key), (None, None))
-                picks = choose(values, start, stop)
-                at = known.to_numpy().nonzero()[0]
-                utc.iloc[at] = [v[1][p] for v, p in zip(values, picks)]
-                name.iloc[at] = [FORMATS[v[0][p]] for v, p in zip(values, picks)]
-            out = pdf[["source", "field_name", "ord", "text", "tz_name"]].copy()
-            out["utc_us"], out["format_name"], out["n_instants"] = utc.to_numpy(), name.to_numpy(), [len(set(u)) for u in pdf["instants"]]
-            yield out
+    def settled(pdf: pd.DataFrame, runs: list[tuple[tuple, int, int]]) -> pd.DataFrame:
+        values = _values(pdf)
+        pid = int(pdf["pid"].iloc[0])
+        utc, name = [None] * len(pdf), [None] * len(pdf)
+        for key, a, b in runs:
+            at = [i for i in range(a, b) if values[i][0]]
+            if at:
+                own = [values[i] for i in at]
+                for i, v, p in zip(at, own, choose(own, *fixed.get((pid, *key), (None, None)))):
+                    utc[i], name[i] = v[1][p], FORMATS[v[0][p]]
+        out = pdf[["source", "field_name", "ord", "text", "tz_name"]]
+        return out.assign(utc_us=pd.array(utc, dtype="Int64"), format_name=pd.Series(name, dtype=object, index=out.index), n_instants=[len(set(u)) for _, u in values])
 
+    def solve(batches):
+        held: list[pd.DataFrame] = []  # the run that may go on in the next batch
         for pdf in batches:
-            for k, a, b in _runs(pdf):
-                if k != key:
-                    yield from close()
-                    held, key = [], k
-                held.append(pdf.iloc[a:b])
-        yield from close()
+            runs = _runs(pdf)
+            if not runs:
+                continue
+            if held and _runs(held[0].iloc[:1])[0][0] == runs[0][0] and len(runs) == 1:
+                held.append(pdf)
+                continue
+            whole = pd.concat([*held, pdf], ignore_index=True) if held else pdf
+            runs = _runs(whole)
+            start = runs[-1][1]
+            if start:
+                yield settled(whole.iloc[:start], runs[:-1])
+            held = [whole.iloc[start:].reset_index(drop=True)]
+        if held:
+            whole = pd.concat(held, ignore_index=True)
+            yield settled(whole, _runs(whole))
 
     return read_rows.mapInPandas(solve, base + ", utc_us long, format_name string, n_instants int")
 

@@ -18,7 +18,7 @@ from fotolake.operators import catalog as c
 from fotolake.operators import dupes as d
 from fotolake.operators import ordering as o
 from fotolake.operators.similarity import hamming_pairs
-from fotolake.plans import rename
+from fotolake.plans import indexing, rename
 from fotolake.runtime import table
 from fotolake.schema import MEDIA
 
@@ -508,3 +508,28 @@ def rename_collisions(spark, sf):
 def rename_exists(spark, sf):
     p = rename.plan(_files(spark, sf), "{name}", output_root="/lib/Camera", existing=_media(spark, sf).select("path"))
     return p.select("src", F.concat(F.lit("/lib/Camera/"), "rel_target").alias("target"), "status")
+
+
+@query(
+    "meta_rows",
+    "SELECT DISTINCT meta_id, name || '.' || ext AS file_name, size, camera_model, TRY_CAST(CASE WHEN regexp_full_match(trim(width), '[+-]?[0-9]+') THEN trim(width) END AS INT) AS width, TRY_CAST(CASE WHEN regexp_full_match(trim(height), '[+-]?[0-9]+') THEN trim(height) END AS INT) AS height FROM file_meta",
+)
+def meta_rows(spark, sf):
+    """Extraction records as media rows: dimensions given as text become numbers or null."""
+    raw = table(spark, sf, "file_meta").drop("date_taken", "mtime").distinct()
+    rows = raw.withColumn("path", F.concat("name", F.lit("."), "ext")).withColumn("mtime", F.lit(0).cast("long"))
+    keyed = rows.withColumn("iso", F.col("meta_id").cast("string"))
+    return indexing.media_rows(keyed).select(F.col("iso").cast("long").alias("meta_id"), "file_name", "size", "camera_model", "width", "height")
+
+
+@query("thumbnails_missing", "SELECT id, path FROM al WHERE lower(ext) IN (" + _IN(m.DECODABLE_EXTS) + ") AND missing = false AND meta_version <> 2")
+def thumbnails_missing(spark, sf):
+    """Pictures without thumbnail, where the cache holds those of rows of the present metadata version."""
+    media = _media(spark, sf)
+    cached = media.where("meta_version = 2").select(m.thumbnail_path().alias("place"))
+    return indexing.thumbnails_missing(media, cached).select("id", "path")
+
+
+@query("restore_plan", "SELECT id, original_path AS dst, original_path IN (SELECT path FROM md WHERE missing) AS blocked FROM led WHERE NOT restored AND batch = 2016", _CTE + "," + _EXACT + _LEDGER.replace("to_timestamp(mtime) AT TIME ZONE 'UTC'", "make_timestamp(mtime * 1000000)"))
+def restore_plan(spark, sf):
+    return indexing.restore_plan(_ledger(spark, sf), 2016, _media(spark, sf).where("missing").select("path")).select("id", "dst", "blocked")

@@ -57,6 +57,25 @@ WITH p AS (SELECT DISTINCT id, lat, lon FROM media WHERE NOT missing AND abs(lat
                 WHERE ((w > 0 AND t >= 0 AND t < w) OR (w < 0 AND t < 0 AND t >= w)) AND lat1 + (lat2 - lat1) * (t / w) > lat
                 GROUP BY ALL HAVING count(*) % 2 = 1)
 SELECT 'near' AS relation, id_a, id_b FROM near UNION ALL SELECT 'inside', id, region_id FROM inside
+""",
+    # Zones shift by half an hour or an hour, so a wall time's other instants lie that far from the one found.
+    "p3_found": r"""
+WITH v AS (UNPIVOT (SELECT DISTINCT meta_id, tz_name, date_taken, date_created, mtime FROM file_meta) ON date_taken, date_created, mtime INTO NAME field_name VALUE raw),
+     t AS (SELECT *, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS x FROM v),
+     n AS (SELECT *, CASE WHEN regexp_full_match(x, '[0-9]{10}(\.[0-9]+)?') THEN CAST(x[1:10] AS BIGINT) * 1000000 + CAST(rpad(x[12:17], 6, '0') AS BIGINT)
+                          WHEN regexp_full_match(x, '[0-9]{13}') THEN CAST(x AS BIGINT) * 1000 WHEN regexp_full_match(x, '[0-9]{16}') THEN CAST(x AS BIGINT) END AS num,
+                  regexp_extract(x, '\s*(Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})(\[[^\]]*\])?$', 1) AS mark, regexp_replace(x, '\s*(Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})(\[[^\]]*\])?$', '') AS rest FROM t),
+     p AS (SELECT *, try_strptime(regexp_replace(regexp_replace(rest, '(:[0-9]{2})\.[0-9]+', '\1'), '^[A-Z][a-z]{2}, ', ''),
+                       ['%Y:%m:%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y%m%dT%H%M%S', '%d.%m.%Y %H:%M:%S', '%Y/%m/%d %H:%M', '%m/%d/%Y %I:%M %p', '%d %b %Y %H:%M', '%d %b %Y %H:%M:%S', '%b %d, %Y %I:%M:%S %p'])
+                     + to_microseconds(CAST(rpad(regexp_extract(rest, ':[0-9]{2}\.([0-9]{1,6})', 1), 6, '0') AS BIGINT)) AS wall,
+                  CASE WHEN mark <> '' THEN mark ELSE trim(tz_name) END AS zone FROM n),
+     z AS (SELECT *, CASE WHEN zone IN ('Z', 'UTC', 'GMT') THEN 0 WHEN regexp_full_match(zone, '[+-][0-9]{2}:?[0-9]{2}')
+                          THEN (CASE WHEN zone[1] = '-' THEN -1 ELSE 1 END) * (CAST(zone[2:3] AS BIGINT) * 3600 + CAST(zone[-2:] AS BIGINT) * 60) END AS off FROM p),
+     c AS (SELECT meta_id, field_name, num AS us FROM z WHERE num IS NOT NULL
+           UNION SELECT meta_id, field_name, epoch_us(wall) - off * 1000000 FROM z WHERE wall IS NOT NULL AND off IS NOT NULL AND num IS NULL
+           UNION SELECT meta_id, field_name, epoch_us(wall AT TIME ZONE zone) + CAST(d AS BIGINT) * 1800000000 FROM z, (VALUES (-2), (-1), (0), (1), (2)) s(d)
+                 WHERE wall IS NOT NULL AND off IS NULL AND zone <> '' AND num IS NULL AND ((wall AT TIME ZONE zone) + to_microseconds(CAST(d AS BIGINT) * 1800000000)) AT TIME ZONE zone = wall)
+SELECT meta_id, field_name, CAST(min(us) AS BIGINT) AS utc_us FROM c GROUP BY ALL HAVING count(DISTINCT us) = 1
 """,
     "p5_found": """
 WITH rule AS (SELECT nullif(lower(trim(camera_model)), '') AS camera, arg_min(burst_window_secs, profile) AS w FROM dup_config WHERE burst_window_secs IS NOT NULL GROUP BY 1),

@@ -80,3 +80,24 @@ def test_images_filter(media, spark):
     rows = media({"path": "/lib/Holiday/IMG_1.jpg", "camera_model": "x"}, {"path": "/lib/Holiday/IMG_2.jpg", "camera_model": "x"}, {"path": "/lib/x.jpg", "camera_model": "x"})
     rows = rows.withColumn("kind", F.lit(None).cast("string")).withColumn("rating", F.when(F.col("id") == 2, 3).otherwise(5))
     assert [r.id for r in o.visible_images(rows, text=" holiday ", min_rating=5, kinds=["photo"]).collect()] == [1]
+
+
+def test_filter_of_fixed_size_loses_nothing(spark, monkeypatch):
+    import fotolake.runtime as r
+
+    for bits in (64, 1 << 22):
+        monkeypatch.setattr(r, "FILTER_BITS", bits)
+        rows = spark.range(500).withColumn("text", F.lit("x"))
+        ids = spark.createDataFrame([(k,) for k in (3, 99, 10_000)], "id long")
+        got = {x.id for x in r.maybe_in(rows, ids, "id").collect()}
+        assert {3, 99} <= got and len(got) < 500
+        assert r.maybe_in(rows, ids.where("false"), "id").count() == 0
+
+
+def test_skew_join_equals_join(spark):
+    from fotolake.runtime import skew_join
+
+    left = spark.range(6000).selectExpr("if(id % 3 = 0, 7, id % 50) as k", "id", "'l' as x").unionByName(spark.createDataFrame([(None, 1, "l")], "k long, id long, x string"))
+    right = spark.createDataFrame([(7, "a"), (8, "b"), (999, "c")], "k long, y string")
+    for how in ("inner", "left", "left_semi"):
+        assert sorted(map(str, skew_join(left, right, "k", how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))

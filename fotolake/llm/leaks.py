@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fotolake.runtime import cut, skew_join
+from fotolake.runtime import cut, maybe_in, skew_join
 
 WORD = re.compile(r"[^\W_]+")
 #: Words in a seed, and the exact run that makes a leak.
@@ -182,7 +182,7 @@ def leaked_items(items: DataFrame, docs: DataFrame, *, n: int = SEED_WORDS, run:
     chosen = cut(seeds(grams, frequency, n, run))
     cand = skew_join(found, chosen.groupBy("gram").agg(F.collect_set("cls").alias("items")), "gram").select("doc_id", F.explode("items").alias("cls")).distinct()
     packed = cut(cand.groupBy("doc_id").agg(F.collect_set("cls").alias("classes")))  # at most the distinct items, per document
-    texts = docs.select("doc_id", "text").join(packed, "doc_id")
+    texts = maybe_in(docs.select("doc_id", "text"), packed, "doc_id").join(packed, "doc_id")
     pairs = texts.select("doc_id", "text", F.explode("classes").alias("cls"))
     small = chosen.join(grams.select("cls", "gram", "phrase").distinct(), ["cls", "gram"]).groupBy("cls").agg(F.collect_set("phrase").alias("seeds"))
     ready = pairs.join(classes.select("cls", "words", "item_ids"), "cls").join(small, "cls")

@@ -18,13 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fotolake.runtime import HEAVY_PARTS, cut, skew_join
+from fotolake.runtime import HEAVY_PARTS, cut, maybe_in, skew_join
 
 MIN_CHARS = 300
 #: Characters of text aimed at per shard, and of a phrase's head that goes into an automaton (the rest is compared).
 SHARD_CHARS, HEAD_CHARS = 2_000_000, 32
-#: Bits of the filter on document ids (broadcast as at most FILTER_BITS / 64 rows of two longs).
-FILTER_BITS = 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 _POWERS = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -213,13 +211,9 @@ def shared_spans(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     least = max(1_000, (found.agg(F.sum(F.size("phrases"))).first()[0] or 0) // HEAVY_PARTS)
     hits = skew_join(phrases, recurring.select("phrase"), "phrase", "left_semi", heavy=recurring.where(F.col("n") > least))
     per_doc = cut(hits.groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases")))  # a document's own phrases: under 2 % of its length
-    # texts without recurring phrases are told by a bitmap of fixed size, before any text is shuffled
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = per_doc.select(spot.alias("_s")).groupBy(F.expr("_s div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_s % 64 as int))")).alias("_bits"))
-    maybe = d.withColumn("_s", spot).withColumn("_word", F.expr("_s div 64")).join(F.broadcast(bits), "_word")
-    maybe = maybe.where(F.expr("(_bits & shiftleft(1L, cast(_s % 64 as int))) <> 0")).select("doc_id", "text")
-    texts = maybe.join(per_doc, "doc_id").dropDuplicates(["doc_id"])
-    total = d.select("doc_id", F.char_length("text").alias("_n")).join(per_doc.select("doc_id"), "doc_id", "left_semi").agg(F.sum("_n")).first()[0] or 0
+    # texts without recurring phrases are sorted out before any text is shuffled
+    texts = maybe_in(d, per_doc, "doc_id").join(per_doc, "doc_id").dropDuplicates(["doc_id"])
+    total = maybe_in(d.select("doc_id", F.char_length("text").alias("_n")), per_doc, "doc_id").join(per_doc.select("doc_id"), "doc_id", "left_semi").agg(F.sum("_n")).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_CHARS))
     texts = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
     located = cut(texts.groupBy("shard").applyInPandas(_locate(min_chars, k), "shard int, doc_id long, runs binary, hashes binary"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fotolake.functions.media import extension, is_image_ext, parent_name, stem
 
-UNDO_LOG = ".renamer_undo.log"
+UNDO_LOG = ".moves_undo.log"
 LISTING = "path string, size long, mtime long, created long, accessed long, error string"
 
 

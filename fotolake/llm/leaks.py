@@ -2,14 +2,17 @@
 
 Every run of `run` words of an item has a seed: its rarest n-gram, by the number of documents that
 hold it. A document sharing the run holds that seed, so seeds lose nothing, and phrases found
-everywhere seed only where nothing rarer exists. All other n-grams in few documents are seeds too, for
-copies edited so much that no run is left. Seeds join documents to items; around them the two
+everywhere seed only where nothing rarer exists. For edited copies the rarest word pairs of the
+item are seeds too, one more than an alignment of the wanted score can break, so each such copy
+holds one of them, however many documents do. Seeds join documents to items; around them the two
 texts are aligned word by word, which scores edited copies and measures the longest exact run.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +27,10 @@ from fotolake.runtime import cut, maybe_in, skew_join
 WORD = re.compile(r"[^\W_]+")
 #: Words in a seed, and the exact run that makes a leak.
 SEED_WORDS, RUN_WORDS = 5, 13
-#: An n-gram in up to so many documents is rare: it seeds wherever it stands.
-RARE_DOCS = 1_000
+#: The similarity from which edited copies are found, unless given.
+LEAST = 0.75
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Distinct n-grams of items broadcast at most (about 100 bytes each on a worker); beyond that documents' n-grams are joined by shuffle.
+#: N-grams of items sent to the workers at most (about 100 bytes each there); beyond that documents' n-grams are joined by shuffle.
 BROADCAST_GRAMS = 200_000
 
 
@@ -52,53 +55,79 @@ def item_classes(items: DataFrame) -> DataFrame:
     return read_items.groupBy("words").agg(F.min("item_id").alias("cls"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
 
 
-def _grams(classes: DataFrame, n: int) -> DataFrame:
-    """cls, pos, gram, phrase; items under n words give one shorter n-gram."""
+def edits(n: int, least: float) -> int:
+    """The most an alignment of at least `least` with an item of n words can lose of the full score.
+
+    Each pair of neighbouring item words it breaks costs 1 or more, each item word it leaves unmatched
+    2 or more (at an end; 3 inside): so at most `edits` pairs are broken and `edits` // 2 words missing.
+    """
+    return MATCH * n - math.ceil(MATCH * n * least - 1e-9)
+
+
+def _grams(classes: DataFrame, n: int, least: float | None) -> DataFrame:
+    """cls, kind, pos, gram, phrase, take.
+
+    kind 'run': n-grams; items under n words give one shorter n-gram. kind 'edit': word pairs, or
+    single words where all pairs may be broken, of which the `take` rarest are seeds.
+    """
 
     def run(batches):
         for pdf in batches:
             out = []
             for c, text in zip(pdf["cls"], pdf["words"]):
                 ws = text.split(" ")
-                k = min(n, len(ws))
-                out += [(c, i, gram_hash(ws[i : i + k]), " ".join(ws[i : i + k])) for i in range(len(ws) - k + 1)]
-            yield pd.DataFrame(out, columns=["cls", "pos", "gram", "phrase"])
+                kinds = [("run", min(n, len(ws)), 0)]
+                if least is not None:
+                    e = edits(len(ws), least)
+                    kinds.append(("edit", 2, e + 1) if len(ws) - 1 > e else ("edit", 1, e // 2 + 1))
+                for kind, k, take in kinds:
+                    out += [(c, kind, i, gram_hash(ws[i : i + k]), " ".join(ws[i : i + k]), take) for i in range(len(ws) - k + 1)]
+            yield pd.DataFrame(out, columns=["cls", "kind", "pos", "gram", "phrase", "take"])
 
-    return classes.select("cls", "words").mapInPandas(run, "cls long, pos int, gram long, phrase string")
+    return classes.select("cls", "words").mapInPandas(run, "cls long, kind string, pos int, gram long, phrase string, take int")
 
 
-def _scan(docs: DataFrame, phrases: list[str]) -> DataFrame:
-    """(gram, doc_id) for each of the phrases in each document, whole texts, once per document."""
-    table = {}
+def _by_size(phrases) -> tuple[dict[int, set[str]], set[str]]:
+    """The phrases by their number of words, and all their words."""
+    table: dict[int, set[str]] = {}
     for p in phrases:
-        table.setdefault(len(p.split(" ")), set()).add(p)
-    first = {w for p in phrases for w in p.split(" ")}
+        table.setdefault(p.count(" ") + 1, set()).add(p)
+    return table, {w for p in phrases for w in p.split(" ")}
+
+
+def _hits(ws: list[str], table: dict[int, set[str]], known: set[str]) -> Iterator[tuple[str, int]]:
+    """(phrase, place) of all phrases of the table in a document."""
+    # starts of n words in a row that all occur in the phrases
+    c = np.concatenate(([0], np.cumsum(np.fromiter(map(known.__contains__, ws), bool, len(ws)))))
+    for n, wanted in table.items():
+        if len(ws) < n:
+            continue
+        for i in np.nonzero(c[n:] - c[:-n] == n)[0].tolist():
+            p = " ".join(ws[i : i + n])
+            if p in wanted:
+                yield p, i
+
+
+def _readable(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").where("text is not null and doc_id is not null")
+
+
+def _count(docs: DataFrame, phrases: list[str]) -> DataFrame:
+    """gram, df: how many document rows hold each of the phrases."""
+    table, known = _by_size(phrases)
 
     def run(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
-            gs, ds = [], []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ws = WORD.findall(text.lower())
-                known = np.fromiter(map(first.__contains__, ws), bool, len(ws))
-                seen = set()
-                for n, wanted in table.items():
-                    if len(ws) < n:
-                        continue
-                    # starts of n words in a row that all occur in items
-                    c = np.concatenate(([0], np.cumsum(known)))
-                    for i in np.nonzero(c[n:] - c[:-n] == n)[0]:
-                        p = " ".join(ws[i : i + n])
-                        if p in wanted:
-                            seen.add(p)
-                gs += [gram_hash(p.split(" ")) for p in seen]
-                ds += [doc] * len(seen)
-            yield pd.DataFrame({"gram": np.array(gs, np.int64), "doc_id": np.array(ds, np.int64)})
+            df = Counter()
+            for text in pdf["text"]:
+                df.update({p for p, _ in _hits(words(text), table, known)})
+            yield pd.DataFrame({"gram": np.array([gram_hash(p.split(" ")) for p in df], np.int64), "df": np.array(list(df.values()), np.int64)})
 
-    return docs.select("doc_id", "text").where("text is not null and doc_id is not null").mapInPandas(run, "gram long, doc_id long")
+    return _readable(docs).mapInPandas(run, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
 
 
 def _scan_all(docs: DataFrame, grams: DataFrame, n: int) -> DataFrame:
-    """The same by shuffle, for item sets too large to broadcast."""
+    """(gram, doc_id) for the grams in each document, by shuffle, for item sets too large to broadcast."""
 
     def run(batches):
         for pdf in batches:
@@ -110,21 +139,23 @@ def _scan_all(docs: DataFrame, grams: DataFrame, n: int) -> DataFrame:
                 ds += [doc] * len(got)
             yield pd.DataFrame({"gram": np.array(gs, np.int64), "doc_id": np.array(ds, np.int64)})
 
-    every = docs.select("doc_id", "text").where("text is not null and doc_id is not null").mapInPandas(run, "gram long, doc_id long")
+    every = _readable(docs).mapInPandas(run, "gram long, doc_id long")
     return skew_join(cut(every), grams.select("gram").distinct(), "gram", "left_semi")
 
 
 def seeds(grams: DataFrame, frequency: DataFrame, n: int, run: int) -> DataFrame:
-    """Per item its rare n-grams, and the rarest of every window of `run` words (of the whole item if shorter): cls, gram."""
+    """Per item the rarest n-gram of every window of `run` words (of the whole item if shorter), and its rarest pairs: cls, kind, gram."""
     g = grams.join(frequency, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     last = Window.partitionBy("cls").orderBy("pos").rowsBetween(0, run - n)
     whole = Window.partitionBy("cls")
     # an n-gram no document holds can't seed; edited copies may still hold the next rarest
     pick = F.min(F.when(F.col("df") > 0, F.struct("df", "gram"))).over(last)
-    g = g.withColumn("pick", pick).withColumn("top", F.max("pos").over(whole))
+    r = g.where("kind = 'run'").withColumn("pick", pick).withColumn("top", F.max("pos").over(whole))
     # windows that reach past the item's end are parts of the last full one
-    rarest = g.where((F.col("pos") <= F.greatest(F.col("top") - (run - n), F.lit(0)))).select("cls", F.col("pick.gram").alias("gram")).where("gram is not null")
-    return rarest.unionByName(g.where(f"df between 1 and {RARE_DOCS}").select("cls", "gram")).distinct()
+    rarest = r.where((F.col("pos") <= F.greatest(F.col("top") - (run - n), F.lit(0)))).select("cls", "kind", F.col("pick.gram").alias("gram")).where("gram is not null")
+    # places, not distinct pairs, are counted; one in no document is broken in all of them
+    e = g.where("kind = 'edit'").withColumn("rank", F.row_number().over(whole.orderBy("df", "gram", "pos")))
+    return rarest.unionByName(e.where("rank <= take and df > 0").select("cls", "kind", "gram")).distinct()
 
 
 def align(item: list[str], doc: list[str]) -> tuple[int, int]:
@@ -162,46 +193,106 @@ def _regions(doc: list[str], wanted: set[str], sizes: set[int], reach: int) -> l
     return [(a, b) for a, b in out]
 
 
-def leaked_items(items: DataFrame, docs: DataFrame, *, n: int = SEED_WORDS, run: int = RUN_WORDS) -> DataFrame:
+class Item:
+    """An item's words, its seeds and n-grams, and what a copy edited no more than allowed must keep."""
+
+    def __init__(self, text: str, wanted: set[str], n: int, least: float | None):
+        self.words, self.n, self.least = text.split(" "), n, least
+        k = min(n, len(self.words))
+        self.wanted = wanted | {" ".join(self.words[i : i + k]) for i in range(len(self.words) - k + 1)}
+        self.sizes = {p.count(" ") + 1 for p in self.wanted}
+        self.pairs = list(zip(self.words, self.words[1:]))
+        self.edits = 0 if least is None else edits(len(self.words), least)
+
+    def may_align(self, doc: list[str]) -> bool:
+        """Whether so many words and pairs of the item are there that it may align over `least`."""
+        if self.least is None:
+            return False
+        have = set(doc)
+        if sum(w in have for w in self.words) < len(self.words) - self.edits // 2:
+            return False
+        pairs = set(zip(doc, doc[1:]))
+        return sum(p in pairs for p in self.pairs) >= len(self.pairs) - self.edits
+
+    def judge(self, doc: list[str], run_seed: bool) -> tuple[int, int] | None:
+        """Score and longest run in a document with a seed; None if neither a run's seed nor the score makes a row."""
+        if not run_seed and not self.may_align(doc):
+            return None
+        score = longest = 0
+        for a, b in _regions(doc, self.wanted, self.sizes, 2 * len(self.words) + self.n):
+            part = doc[a:b]
+            if run_seed or self.may_align(part):
+                s, r = align(self.words, part)
+                score, longest = max(score, s), max(longest, r)
+        return (score, longest) if run_seed or score >= MATCH * len(self.words) - self.edits else None
+
+
+def leaked_items(items: DataFrame, docs: DataFrame, *, n: int = SEED_WORDS, run: int = RUN_WORDS, least: float | None = LEAST) -> DataFrame:
     """Items with the documents they may have leaked into: item_id, doc_id, item_words, longest_run, score, similarity.
 
-    A row for each item and document that share a seed. `similarity` is the alignment score over
-    that of the whole item. Null or empty texts and null ids give no rows; repeated questions under
-    other ids each give rows; repeated rows count once. Items shorter than `run` words are judged as
-    a whole. Empty tables give no rows; extra columns are ignored.
+    A row for each item and document that share a seed of `run` words, or align over at least `least`
+    of the item (None: only the former). `similarity` is the alignment score over that of the whole item;
+    runs under n words are measured around seeds only. Null or empty texts and null ids give no rows;
+    repeated questions under other ids each give rows; repeated rows count once. Items shorter than `run`
+    words are judged as a whole. Empty tables give no rows; extra columns are ignored.
     """
     classes = cut(item_classes(items))
-    grams = cut(_grams(classes, n))
-    phrases = grams.select("phrase").distinct()
-    if grams.select("gram").distinct().limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
-        found = _scan(docs, [r.phrase for r in phrases.limit(BROADCAST_GRAMS).collect()])
+    grams = cut(_grams(classes, n, least))
+    columns = ["item_ids", "doc_id", "item_words", "longest_run", "score", "similarity"]
+    schema = "item_ids array<long>, doc_id long, item_words int, longest_run int, score int, similarity double"
+    phrase_of = grams.select("cls", "kind", "gram", "phrase").distinct()
+
+    def row(ids, doc, item: Item, got: tuple[int, int]):
+        return (list(ids), doc, len(item.words), got[1], got[0], got[0] / (MATCH * len(item.words)))
+
+    if grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+        frequency = _count(docs, [r.phrase for r in grams.select("phrase").distinct().limit(BROADCAST_GRAMS).collect()])
+        chosen = seeds(grams, frequency, n, run).join(phrase_of, ["cls", "kind", "gram"])
+        # no more than the n-grams counted above
+        at: dict[str, list[tuple[int, bool]]] = {}
+        wanted: dict[int, set[str]] = {}
+        for r in chosen.collect():
+            at.setdefault(r.phrase, []).append((r.cls, r.kind == "run"))
+            wanted.setdefault(r.cls, set()).add(r.phrase)
+        known_items = {r.cls: (r.words, list(r.item_ids)) for r in classes.collect() if r.cls in wanted}
+
+        def judge_docs(batches):
+            table, known = _by_size(list(at))
+            made = {c: Item(text, wanted[c], n, least) for c, (text, _) in known_items.items()}
+            for pdf in batches:
+                rows = []
+                for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                    dw = words(text)
+                    cand: dict[int, bool] = {}
+                    for p in {p for p, _ in _hits(dw, table, known)}:
+                        for c, is_run in at[p]:
+                            cand[c] = cand.get(c, False) or is_run
+                    for c, is_run in cand.items():
+                        if got := made[c].judge(dw, is_run):
+                            rows.append(row(known_items[c][1], doc, made[c], got))
+                yield pd.DataFrame(rows, columns=columns)
+
+        judged = _readable(docs).mapInPandas(judge_docs, schema)
     else:
-        found = _scan_all(docs, grams, n)
-    found = cut(found.distinct())
-    frequency = found.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    chosen = cut(seeds(grams, frequency, n, run))
-    cand = skew_join(found, chosen.groupBy("gram").agg(F.collect_set("cls").alias("items")), "gram").select("doc_id", F.explode("items").alias("cls")).distinct()
-    packed = cut(cand.groupBy("doc_id").agg(F.collect_set("cls").alias("classes")))  # at most the distinct items, per document
-    texts = maybe_in(docs.select("doc_id", "text"), packed, "doc_id").join(packed, "doc_id")
-    pairs = texts.select("doc_id", "text", F.explode("classes").alias("cls"))
-    small = chosen.join(grams.select("cls", "gram", "phrase").distinct(), ["cls", "gram"]).groupBy("cls").agg(F.collect_set("phrase").alias("seeds"))
-    ready = pairs.join(classes.select("cls", "words", "item_ids"), "cls").join(small, "cls")
-
-    def judge(batches):
-        for pdf in batches:
-            rows = []
-            last, dw = None, []
-            for doc, text, item, sd, ids in zip(pdf["doc_id"], pdf["text"], pdf["words"], pdf["seeds"], pdf["item_ids"]):
-                if doc != last:
-                    last, dw = doc, words(text)
-                iw = item.split(" ")
-                wanted = set(sd)
-                score = longest = 0
-                for a, b in _regions(dw, wanted, {len(p.split(" ")) for p in wanted}, 2 * len(iw) + n):
-                    s, r = align(iw, dw[a:b])
-                    score, longest = max(score, s), max(longest, r)
-                rows.append((list(ids), doc, len(iw), longest, score, score / (MATCH * len(iw))))
-            yield pd.DataFrame(rows, columns=["item_ids", "doc_id", "item_words", "longest_run", "score", "similarity"])
-
-    judged = ready.mapInPandas(judge, "item_ids array<long>, doc_id long, item_words int, longest_run int, score int, similarity double")
-    return judged.select(F.explode("item_ids").alias("item_id"), "doc_id", "item_words", "longest_run", "score", "similarity").distinct()
+        found = cut(_scan_all(docs, grams, n).distinct())
+        frequency = found.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+        chosen = cut(seeds(grams, frequency, n, run))
+        by_gram = chosen.groupBy("gram").agg(F.collect_set(F.struct("cls", (F.col("kind") == "run").alias("is_run"))).alias("items"))
+        cand = skew_join(found, by_gram, "gram").select("doc_id", F.explode("items").alias("i")).groupBy("doc_id", "i.cls").agg(F.max("i.is_run").alias("is_run"))
+        packed = cut(cand.groupBy("doc_id").agg(F.collect_list(F.struct("cls", "is_run")).alias("classes")))  # at most the distinct items, per document
+        texts = maybe_in(_readable(docs), packed, "doc_id").join(packed, "doc_id")
+        pairs = texts.select("doc_id", "text", F.inline("classes"))
+        small = chosen.join(phrase_of, ["cls", "kind", "gram"]).groupBy("cls").agg(F.collect_set("phrase").alias("seeds"))
+        ready = pairs.join(classes.select("cls", "words", "item_ids"), "cls").join(small, "cls")
+
+        def judge_pairs(batches):
+            for pdf in batches:
+                rows = []
+                for doc, text, is_run, item, sd, ids in zip(pdf["doc_id"], pdf["text"], pdf["is_run"], pdf["words"], pdf["seeds"], pdf["item_ids"]):
+                    it = Item(item, set(sd), n, least)
+                    if got := it.judge(words(text), bool(is_run)):
+                        rows.append(row(ids, doc, it, got))
+                yield pd.DataFrame(rows, columns=columns)
+
+        judged = ready.mapInPandas(judge_pairs, schema)
+    return judged.select(F.explode("item_ids").alias("item_id"), *columns[1:]).distinct()

@@ -60,13 +60,13 @@ def p6_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and documents that share at least 13 words in a row."""
-    leaks = leaked_items(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents"))
+    leaks = leaked_items(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents"), least=None)
     return leaks.where(f"longest_run >= {RUN_WORDS}").select("item_id", "doc_id")
 
 
 def p7_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and documents that align over at least 0.8 of the item, copied word for word or edited."""
-    leaks = leaked_items(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents"))
+    leaks = leaked_items(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents"), least=0.8)
     return leaks.where("similarity >= 0.8").select("item_id", "doc_id", "longest_run", "score", "similarity")
 
 

@@ -68,3 +68,15 @@ def test_alignment():
     assert l.align(list("abcdef"), list("abcXdef")) == (11, 3)
     assert l.align(list("abcdef"), list("abdef")) == (9, 3)
     assert l.align([], ["a"]) == (0, 0) and l.align(["a"], ["b"]) == (0, 0)
+
+
+@pytest.mark.parametrize("shuffle", [False, True])
+def test_edited_copies_are_found_in_any_number_of_documents(spark, shuffle, monkeypatch):
+    if shuffle:
+        monkeypatch.setattr(l, "BROADCAST_GRAMS", 3)
+    item = [f"w{k}" for k in range(20)]
+    edited = " ".join(item[:10] + ["other"] + item[11:])
+    docs = [(0, " ".join(item), "")] + [(k, edited, "") for k in range(1, 1201)]
+    got = run(spark, [(1, "t", " ".join(item))], docs)
+    assert {d for _, d in got} == set(range(1201))
+    assert {r.similarity for (_, d), r in got.items() if d} == {0.925}

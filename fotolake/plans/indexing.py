@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotolake.functions import media as m
 from fotolake.operators import catalog as c
 from fotolake.operators.ordering import global_rank
-from fotolake.runtime import cut
+from fotolake.runtime import cut, slots
 from fotolake.schema import MEDIA
 from fotolake.sources import exif, files, images
 from fotolake.sources.store import Store
@@ -31,13 +31,6 @@ def media_rows(meta: DataFrame) -> DataFrame:
     )
 
 
-def _contents(spark: SparkSession, paths: DataFrame, root: str) -> DataFrame:
-    """path and content of the files asked for; only their bytes are read where the planner can prune."""
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    every = every.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content")
-    return every.join(paths.select("path"), "path", "left_semi")
-
-
 def index_library(store: Store, root: str, *, with_exif: bool = True, images_only: bool = True) -> dict[str, int]:
     """Bring the `media` table up to date with a folder; each stage writes a snapshot that the next one reads.
 
@@ -54,7 +47,7 @@ def index_library(store: Store, root: str, *, with_exif: bool = True, images_onl
     todo = changes.where(F.col("change").isin("new", "changed", "stale")).select("path")
     meta = files.file_meta(good).join(todo, "path", "left_semi")
     if with_exif:
-        meta = meta.join(exif.read_exif(_contents(spark, todo, root)), "path", "left")
+        meta = meta.join(exif.read_exif(files.contents(todo.repartition(slots(spark)))), "path", "left")
     seen = changes.where(F.col("change").isin("new", "changed", "stale", "unchanged"))
     merged = c.upsert(media, media_rows(meta))
     here = merged.join(seen.select("path"), "path", "left_semi").select("id")
@@ -62,7 +55,7 @@ def index_library(store: Store, root: str, *, with_exif: bool = True, images_onl
 
     media = store.read("media", MEDIA)
     work = cut(c.hash_worklist(media))
-    found = cut(_contents(spark, work, root).select("path", m.content_digest("content").alias("content_hash")).join(work.select("id", "path"), "path"))
+    found = cut(files.digests(work.repartition(slots(spark))).join(work.select("id", "path"), "path"))
     counters["hashed"] = found.count()
     if counters["hashed"]:
         store.write("media", c.set_columns(media, found, ("content_hash",)))
@@ -71,7 +64,7 @@ def index_library(store: Store, root: str, *, with_exif: bool = True, images_onl
     work = cut(c.analysis_worklist(media))
     counters["analysed"] = 0
     if not work.isEmpty():
-        done = cut(images.analyse(images.read_images(spark, root)).join(work, "path"))
+        done = cut(images.analyse_files(spark, work.repartition(slots(spark))).join(work, "path"))
         counters["analysed"] = done.where("phash is not null").count()
         media = c.set_columns(media, done, ("phash", "dom_color"))
         store.write("media", c.set_columns(media, done, ("width", "height"), keep_known=True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -70,12 +71,34 @@ def folder_bytes(listing: DataFrame) -> DataFrame:
     return listing.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
-def digests(spark: SparkSession, root: str) -> DataFrame:
-    """path and content digest of files, read by Spark."""
-    from fotolake.functions.media import content_digest
+def contents(paths: DataFrame) -> DataFrame:
+    """path and content of the files at `paths(path)`: each path is opened as it stands, whatever its name."""
 
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return f.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), content_digest("content").alias("content_hash"))
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for path in pdf["path"]:
+                with open(path, "rb") as f:
+                    yield pd.DataFrame({"path": [path], "content": [f.read()]})  # a file at a time, for memory
+
+    return paths.select("path").mapInPandas(run, "path string, content binary")
+
+
+def digests(paths: DataFrame) -> DataFrame:
+    """path and content digest (that of `content_digest`) of the files at `paths(path)`, read piece by piece."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                with open(path, "rb") as f:
+                    out.append((path, hashlib.file_digest(f, "sha256").hexdigest()))
+            yield pd.DataFrame(out, columns=["path", "content_hash"])
+
+    return paths.select("path").mapInPandas(run, "path string, content_hash string")
 
 
 def read_undo_log(root: str) -> list[tuple[str, str]]:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import shutil
+import tempfile
+from urllib.parse import unquote, urlsplit
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fotolake.runtime import cut, shared_folder
+
 CLUSTERS, ROUNDS, EDGE = 5, 12, 64
 HASH_W, HASH_H = 9, 8
 #: Channels of the image source's modes (OpenCV numbering, bytes in BGR order).
 _RED, _GREEN, _BLUE = 2, 1, 0
+ANALYSED = "width int, height int, phash long, dom_color int"
 LUMA = (0.2126, 0.7152, 0.0722)
 
 
@@ -78,4 +87,46 @@ def analyse(images: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "width", "height", "phash", "dom_color"]).astype({"width": "Int32", "height": "Int32", "phash": "Int64", "dom_color": "Int32"})
 
     i = images.select(*[F.col(f"image.{c}").alias(c) for c in ("origin", "height", "width", "nChannels", "data")])
-    return i.mapInPandas(run, "path string, width int, height int, phash long, dom_color int")
+    return i.mapInPandas(run, f"path string, {ANALYSED}")
+
+
+def _linked(paths: DataFrame, stage: str) -> DataFrame:
+    """name and path of links below `stage` to the files at `paths(path)`, under names every source lists."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                name = hashlib.sha256(path.encode("utf-8", "surrogateescape")).hexdigest()
+                os.makedirs(os.path.join(stage, name[:2]), exist_ok=True)
+                link = os.path.join(stage, name[:2], name)
+                try:
+                    os.symlink(os.path.abspath(path), link)
+                except FileExistsError:  # a task may run twice
+                    pass
+                out.append((name, path))
+            yield pd.DataFrame(out, columns=["name", "path"])
+
+    return paths.select("path").mapInPandas(run, "name string, path string")
+
+
+def analyse_files(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """`analyse` of the files at `paths(path)`, which keep their paths as given; files that are no pictures are left out.
+
+    Spark's image source hides names that begin with a dot or underscore, so it gets links of other
+    names, in the folder all executors share; that must be one the file system mounts, as the library is.
+    """
+    shared = urlsplit(shared_folder(spark))
+    if shared.scheme not in ("", "file"):
+        raise ValueError(f"decoding needs a mounted shared folder, not {shared_folder(spark)}")
+    os.makedirs(unquote(shared.path), exist_ok=True)
+    stage = tempfile.mkdtemp(prefix="pictures-", dir=unquote(shared.path))
+    os.chmod(stage, 0o777)
+    try:
+        links = cut(_linked(paths, stage))
+        if links.isEmpty():
+            return spark.createDataFrame([], f"path string, {ANALYSED}")
+        done = analyse(read_images(spark, "file://" + stage)).withColumn("name", F.element_at(F.split("path", "/"), -1)).drop("path")
+        return cut(links.join(done, "name").drop("name"))
+    finally:
+        shutil.rmtree(stage)

@@ -1,8 +1,10 @@
 import os
+import struct
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
-from test_sources import picture, png
+from test_sources import picture, png, tiff
 
 from fotolake.plans import indexing
 from fotolake.schema import LEDGER, MEDIA
@@ -47,3 +49,19 @@ def test_text_dimensions(spark):
     r = indexing.media_rows(df).first()
     assert (r.width, r.height, r.file_name, r.phash) == (4000, None, "a.jpg", None)
     assert indexing.media_rows(df.withColumn("height", F.lit("x"))).count() == 1
+
+
+def test_hidden_names_are_read(spark, tmp_path):
+    lib = tmp_path / "lib"
+    (lib / "_raw").mkdir(parents=True)
+    block = tiff({0x010F: (2, 6, b"Canon\0")})
+    names = ("_MG_1.png", ".h.png", "_raw/b.png", "plain.png")
+    for n in names:
+        png(lib / n, picture(0), struct.pack(">I", len(block)) + b"eXIf" + block + struct.pack(">I", zlib.crc32(b"eXIf" + block)))
+    store = Store(spark, str(tmp_path / "db"))
+    got = indexing.index_library(store, str(lib))
+    assert (got["scanned"], got["hashed"], got["analysed"], got["errors"]) == (4, 4, 4, 0)
+    rows = store.read("media", MEDIA).collect()
+    assert {r.path for r in rows} == {str(lib / n) for n in names}
+    assert len({r.content_hash for r in rows} - {None}) == len({(r.phash, r.dom_color, r.width) for r in rows}) == 1
+    assert all(r.content_hash and r.phash is not None and r.camera_make == "Canon" for r in rows)

@@ -71,13 +71,16 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
 
 
 def analyse(images: DataFrame) -> DataFrame:
-    """Image rows to path, width, height, phash, dom_color: all from one decode. Rows without pixels are null."""
+    """Image rows to path, width, height, phash, dom_color: all from one decode. Rows without pixels are null.
+
+    The source gives origins percent-encoded; paths are as on disk.
+    """
 
     def run(batches):
         for pdf in batches:
             out = []
             for origin, h, w, n, data in zip(pdf["origin"], pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"]):
-                path = origin.removeprefix("file://").removeprefix("file:")
+                path = unquote(origin.removeprefix("file://").removeprefix("file:"))
                 if data is None or h <= 0 or w <= 0:
                     out.append((path, None, None, None, None))
                     continue

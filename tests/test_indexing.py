@@ -8,6 +8,7 @@ from test_sources import picture, png, tiff
 
 from fotolake.plans import indexing
 from fotolake.schema import LEDGER, MEDIA
+from fotolake.sources import images
 from fotolake.sources.store import Store
 
 
@@ -65,3 +66,18 @@ def test_hidden_names_are_read(spark, tmp_path):
     assert {r.path for r in rows} == {str(lib / n) for n in names}
     assert len({r.content_hash for r in rows} - {None}) == len({(r.phash, r.dom_color, r.width) for r in rows}) == 1
     assert all(r.content_hash and r.phash is not None and r.camera_make == "Canon" for r in rows)
+
+
+def test_names_with_blanks_and_signs_are_analysed(spark, tmp_path):
+    lib = tmp_path / "my lib"
+    (lib / "sub dir").mkdir(parents=True)
+    names = ("Screenshot 1.png", "e#1.png", "100%.png", "a%20b.png", "sub dir/b.png", "é [x]{y},*.png")
+    for k, n in enumerate(names):
+        png(lib / n, picture(k, 20 + k))
+    direct = {r.path: r.width for r in images.analyse(images.read_images(spark, str(lib))).collect()}
+    assert direct == {str(lib / n): 20 + k for k, n in enumerate(names)}
+    store = Store(spark, str(tmp_path / "db"))
+    assert indexing.index_library(store, str(lib))["analysed"] == len(names)
+    rows = {r.path: r for r in store.read("media", MEDIA).collect()}
+    assert all(rows[str(lib / n)].width == 20 + k and rows[str(lib / n)].phash is not None for k, n in enumerate(names))
+    assert indexing.index_library(store, str(lib))["analysed"] == 0

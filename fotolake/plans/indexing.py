@@ -35,7 +35,9 @@ def index_library(store: Store, root: str, *, with_exif: bool = True, images_onl
     """Bring the `media` table up to date with a folder; each stage writes a snapshot that the next one reads.
 
     Returns the counters scanned, updated, unchanged, missing, hashed, analysed and errors. Files of
-    unchanged size and time are not opened. Only present files whose size collides are hashed.
+    unchanged size and time are not opened. Only present files whose size collides are hashed. Hashing
+    and analysis take up all that the catalog lacks, under this folder or any other. Files that can't be
+    read count as errors and stay due for the next run.
     """
     spark = store.spark
     listing = files.walk(spark, root, images_only=images_only)
@@ -46,7 +48,11 @@ def index_library(store: Store, root: str, *, with_exif: bool = True, images_onl
     counters = c.index_outcome(changes).first().asDict()
     todo = changes.where(F.col("change").isin("new", "changed", "stale")).select("path")
     meta = files.file_meta(good).join(todo, "path", "left_semi")
+    lost = listing.where("error is not null").select("path")
     if with_exif:
+        closed = cut(files.unreadable(todo.repartition(slots(spark))))
+        counters["updated"] -= closed.count()
+        meta, todo, lost = meta.join(closed, "path", "left_anti"), todo.join(closed, "path", "left_anti"), lost.unionByName(closed)
         meta = meta.join(exif.read_exif(files.contents(todo.repartition(slots(spark)))), "path", "left")
     seen = changes.where(F.col("change").isin("new", "changed", "stale", "unchanged"))
     merged = c.upsert(media, media_rows(meta))
@@ -56,6 +62,8 @@ def index_library(store: Store, root: str, *, with_exif: bool = True, images_onl
     media = store.read("media", MEDIA)
     work = cut(c.hash_worklist(media))
     found = cut(files.digests(work.repartition(slots(spark))).join(work.select("id", "path"), "path"))
+    lost = lost.unionByName(found.where("content_hash is null").select("path"))
+    found = found.where("content_hash is not null")
     counters["hashed"] = found.count()
     if counters["hashed"]:
         store.write("media", c.set_columns(media, found, ("content_hash",)))
@@ -64,11 +72,13 @@ def index_library(store: Store, root: str, *, with_exif: bool = True, images_onl
     work = cut(c.analysis_worklist(media))
     counters["analysed"] = 0
     if not work.isEmpty():
+        closed = cut(files.unreadable(work.repartition(slots(spark))))
+        work, lost = work.join(closed, "path", "left_anti"), lost.unionByName(closed)
         done = cut(images.analyse_files(spark, work.repartition(slots(spark))).join(work, "path"))
         counters["analysed"] = done.where("phash is not null").count()
         media = c.set_columns(media, done, ("phash", "dom_color"))
         store.write("media", c.set_columns(media, done, ("width", "height"), keep_known=True))
-    counters["errors"] = listing.where("error is not null").count()
+    counters["errors"] = lost.distinct().count()
     return counters
 
 

@@ -72,21 +72,28 @@ def folder_bytes(listing: DataFrame) -> DataFrame:
 
 
 def contents(paths: DataFrame) -> DataFrame:
-    """path and content of the files at `paths(path)`: each path is opened as it stands, whatever its name."""
+    """path and content of the files at `paths(path)`: each path is opened as it stands, whatever its name.
+
+    Null where a file can't be read.
+    """
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             for path in pdf["path"]:
-                with open(path, "rb") as f:
-                    yield pd.DataFrame({"path": [path], "content": [f.read()]})  # a file at a time, for memory
+                try:
+                    with open(path, "rb") as f:
+                        content = f.read()
+                except OSError:
+                    content = None
+                yield pd.DataFrame({"path": [path], "content": [content]})  # a file at a time, for memory
 
     return paths.select("path").mapInPandas(run, "path string, content binary")
 
 
 def digests(paths: DataFrame) -> DataFrame:
-    """path and content digest (that of `content_digest`) of the files at `paths(path)`, read piece by piece."""
+    """path and content digest (that of `content_digest`) of the files at `paths(path)`, read piece by piece; null where a file can't be read."""
 
     def run(batches):
         import pandas as pd
@@ -94,13 +101,33 @@ def digests(paths: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for path in pdf["path"]:
-                with open(path, "rb") as f:
-                    out.append((path, hashlib.file_digest(f, "sha256").hexdigest()))
+                try:
+                    with open(path, "rb") as f:
+                        out.append((path, hashlib.file_digest(f, "sha256").hexdigest()))
+                except OSError:
+                    out.append((path, None))
             yield pd.DataFrame(out, columns=["path", "content_hash"])
 
     return paths.select("path").mapInPandas(run, "path string, content_hash string")
 
 
+def unreadable(paths: DataFrame) -> DataFrame:
+    """Those of `paths(path)` that are gone or can't be opened."""
+
+    def run(batches):
+        for pdf in batches:
+            bad = []
+            for path in pdf["path"]:
+                try:
+                    with open(path, "rb") as f:
+                        f.read(1)
+                except OSError:
+                    bad.append(path)
+            yield pdf[pdf["path"].isin(bad)]
+
+    return paths.select("path").mapInPandas(run, "path string")
+
+
 def read_undo_log(root: str) -> list[tuple[str, str]]:
     """(from, to) of each move; two lines an entry, an odd last line is dropped, no file is no entry."""
     try:

@@ -81,3 +81,30 @@ def test_names_with_blanks_and_signs_are_analysed(spark, tmp_path):
     rows = {r.path: r for r in store.read("media", MEDIA).collect()}
     assert all(rows[str(lib / n)].width == 20 + k and rows[str(lib / n)].phash is not None for k, n in enumerate(names))
     assert indexing.index_library(store, str(lib))["analysed"] == 0
+
+
+def test_worklists_reach_other_roots(spark, tmp_path):
+    a, b = tmp_path / "a", tmp_path / "b"
+    a.mkdir(), b.mkdir()
+    png(a / "one.png", picture(0))
+    (a / "late.png").write_bytes(b"not yet a picture")
+    store = Store(spark, str(tmp_path / "db"))
+    assert indexing.index_library(store, str(a))["hashed"] == 0
+    png(a / "late.png", picture(5, 30))
+    (b / "copy.png").write_bytes((a / "one.png").read_bytes())
+    got = indexing.index_library(store, str(b))
+    assert (got["scanned"], got["hashed"], got["errors"]) == (1, 2, 0)
+    rows = {r.file_name: r for r in store.read("media", MEDIA).collect()}
+    assert rows["one.png"].content_hash == rows["copy.png"].content_hash is not None
+    assert rows["late.png"].phash is not None and rows["late.png"].width == 30
+
+    # another root that is away: an error each, and due again once it is back
+    (b / "third.png").write_bytes(b"x" * 40)
+    (a / "forty.png").write_bytes(b"y" * 40)
+    indexing.index_library(store, str(a))
+    a.rename(tmp_path / "away")
+    got = indexing.index_library(store, str(b))
+    assert (got["hashed"], got["errors"]) == (1, 1) and not store.read("media", MEDIA).where("missing").count()
+    (tmp_path / "away").rename(a)
+    got = indexing.index_library(store, str(b))
+    assert (got["hashed"], got["errors"]) == (1, 0)

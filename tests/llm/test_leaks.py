@@ -80,3 +80,35 @@ def test_edited_copies_are_found_in_any_number_of_documents(spark, shuffle, monk
     got = run(spark, [(1, "t", " ".join(item))], docs)
     assert {d for _, d in got} == set(range(1201))
     assert {r.similarity for (_, d), r in got.items() if d} == {0.925}
+
+
+@pytest.mark.parametrize("shuffle", [False, True])
+def test_edited_copies_without_five_words_in_a_row(spark, shuffle, monkeypatch):
+    if shuffle:
+        monkeypatch.setattr(l, "BROADCAST_GRAMS", 3)
+    w = [f"w{k}" for k in range(20)]
+    spaced = [x for k, v in enumerate(w, 1) for x in ([v, "new"] if k % 4 == 0 and k < 20 else [v])]
+    items = [(1, "t", " ".join(w[:8])), (2, "t", " ".join(w[:9])), (3, "t", " ".join(w))]
+    docs = [(1, " ".join(w[:4] + ["x"] + w[5:8]), ""), (2, " ".join(w[:4] + ["x"] + w[5:9]), ""), (3, " ".join(spaced), "")]
+    got = run(spark, items, docs)
+    assert [round(got[k, k].similarity, 4) for k in (1, 2, 3)] == [0.8125, 0.8333, 0.9]
+
+
+@pytest.mark.parametrize("least", [0.8, 0.6])
+def test_all_alignments_over_the_least_are_found(spark, least):
+    rng = random.Random(11)
+    word = lambda: rng.choice("a b c d e f g h i j k l m n o p q r s t u".split())
+    items = [(k, "t", " ".join(word() for _ in range(rng.randrange(1, 24)))) for k in range(40)]
+    docs = []
+    for k in range(120):
+        src = rng.choice(items)[2].split()
+        for _ in range(rng.randrange(0, 1 + int(0.45 * len(src)))):
+            at = rng.randrange(len(src) + 1)
+            src[at : at + rng.randrange(2)] = [word()] * rng.randrange(2)
+        docs.append((k, " ".join([word() for _ in range(rng.randrange(9))] + src + [word() for _ in range(rng.randrange(9))]), ""))
+    score = {(i, d): l.align(l.words(t), l.words(x))[0] / (2 * len(l.words(t))) for i, _, t in items for d, x, _ in docs}
+    i = spark.createDataFrame(items, "item_id long, split_name string, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
+    got = {(r.item_id, r.doc_id): r.similarity for r in l.leaked_items(i, d, least=least).collect() if r.similarity >= least}
+    want = {k: v for k, v in score.items() if v >= least}
+    assert got == want and len(want) > 60

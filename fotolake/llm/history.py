@@ -4,7 +4,7 @@ History is kept as index shards, one graph per segment. Within a shard every cod
 hash) links to its closest codes among those inserted before it, and back; a search walks the graph
 with a beam, starting from the best of a fixed sample of entry codes. The beam of each shard is
 widened until its answers reach the target recall against exhaustive search of that shard on probes
-made from its own codes. Hits are ranked by the exact distance. A new batch is searched in all
+made from its own codes; where none does, the shard is searched exhaustively. Hits are ranked by the exact distance. A new batch is searched in all
 shards and then becomes a shard of its own; `compact` rebuilds small shards into full ones.
 """
 
@@ -22,6 +22,8 @@ SHARD_CODES, LINKS, ENTRIES, EXPAND = 196_608, 24, 4_096, 8
 #: Beams tried in turn, the recall to reach, probes per shard.
 BEAMS, TARGET_RECALL, PROBES = (32, 48, 64, 96, 128, 192, 256, 384), 0.995, 512
 BUILD_BEAM, BATCH = 48, 1_024
+#: Stands for a search of all codes, where no beam reaches the target; queries compared at once in it.
+EXHAUSTIVE, FEW = 0, 16
 _U = np.uint32
 _FAR = _U(0xFFFFFFFF)
 _ID = _U(0x1FFFFFF)  # a beam cell is distance (7 bits), number (24 bits), expanded (1 bit)
@@ -132,8 +134,17 @@ def build_graph(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def within(q: np.ndarray, codes: np.ndarray, links: np.ndarray, beam: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, code number) at most `radius` apart. A beam filled with hits is widened, so it caps no answer."""
+    """Pairs (query, code number) at most `radius` apart. A beam filled with hits is widened, so it caps no answer.
+
+    The beam EXHAUSTIVE compares every code instead.
+    """
     qs, ns = [], []
+    if beam == EXHAUSTIVE:
+        for s in range(0, len(q), FEW):
+            r, c = np.nonzero(hamming(q[s : s + FEW, None], codes[None]) <= radius)
+            qs.append(r + s)
+            ns.append(c)
+        q = q[:0]
     for s in range(0, len(q), BATCH):
         part = np.arange(s, min(len(q), s + BATCH))
         width = beam
@@ -150,20 +161,24 @@ def within(q: np.ndarray, codes: np.ndarray, links: np.ndarray, beam: int, radiu
 
 
 def tuned_beam(codes: np.ndarray, links: np.ndarray, radius: int) -> tuple[int, float]:
-    """The first beam whose hits on probes reach the target recall against exhaustive search, and that recall."""
+    """The first beam whose hits on probes reach the target recall against exhaustive search, and that recall.
+
+    Recall is averaged over probes, so that a cluster's many hits count no more than a lone code's.
+    Where the widest beam misses the target the shard is searched exhaustively.
+    """
     rng = np.random.default_rng(len(codes))
     probes = codes[rng.integers(0, len(codes), min(PROBES, len(codes)))].copy()
     for _ in range(radius):  # flips at up to `radius` places
         flip = rng.random(len(probes)) < 0.75
         probes[flip] ^= np.uint64(1) << rng.integers(0, 64, int(flip.sum())).astype(np.uint64)
-    truth = {(i, int(j)) for i, p in enumerate(probes) for j in np.nonzero(hamming(codes, p) <= radius)[0]}
-    recall = 0.0
+    # hits are exact, so those found are among the true ones and their numbers tell the recall
+    hits = lambda beam: np.bincount(within(probes, codes, links, beam, radius)[0], minlength=len(probes))
+    truth = hits(EXHAUSTIVE)
     for beam in BEAMS:
-        found = {(int(a), int(b)) for a, b in zip(*within(probes, codes, links, beam, radius))}
-        recall = len(found & truth) / max(1, len(truth))
+        recall = float((hits(beam) / truth).mean())  # each probe has at least the code it was made from
         if recall >= TARGET_RECALL:
-            break
-    return beam, recall
+            return beam, recall
+    return EXHAUSTIVE, 1.0
 
 
 SHARD_SCHEMA = "shard long, segment int, codes binary, links binary, n int, beam int, recall double"

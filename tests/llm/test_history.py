@@ -80,3 +80,24 @@ def test_random_batches_equal_brute_force_and_compaction(spark):
     assert packed.count() == 1 and packed.first().n == len(base) and packed.first().segment == 3
     q = spark.createDataFrame([(9, base[7] ^ 3)], "segment int, phash long")
     assert [r.phash for r in h.search_shards(q, packed, 6).collect()] == [base[7]]
+
+
+def test_shard_that_misses_the_target_is_searched_exhaustively():
+    c = codes(6000)
+    np.random.default_rng(0).shuffle(c)
+    alone = np.repeat(np.arange(len(c), dtype=np.int32)[:, None], 2 * h.LINKS, axis=1)  # codes beyond the entries can't be reached
+    beam, recall = h.tuned_beam(c, alone, 6)
+    q, k = h.within(c[-50:], c, alone, beam, 0)
+    assert recall >= h.TARGET_RECALL and sorted(zip(q.tolist(), k.tolist())) == [(i, len(c) - 50 + i) for i in range(50)]
+
+
+def test_cluster_does_not_decide_the_beam():
+    base = np.uint64(0x0123456789ABCDEF)
+    crowd = np.unique([base ^ np.uint64((1 << a) | (1 << b) | (1 << c)) for a in range(22) for b in range(a, 22) for c in range(b, 22)])
+    rest = codes(6000)
+    np.random.default_rng(0).shuffle(rest)
+    c = np.concatenate([crowd, rest])
+    alone = np.repeat(np.arange(len(c), dtype=np.int32)[:, None], 2 * h.LINKS, axis=1)
+    beam, recall = h.tuned_beam(c, alone, 6)
+    q, k = h.within(c[-50:], c, alone, beam, 0)
+    assert recall >= h.TARGET_RECALL and len(q) == 50

@@ -125,10 +125,10 @@ def interpretations(text: str | None, zone_name: str | None, conventions: frozen
     """All (format number, microseconds since 1970 UTC) a text can mean; empty for junk, nulls and impossible dates.
 
     Outer blanks don't matter. Bare numbers count from 1970 in seconds (10 digits, perhaps with
-    decimals), milliseconds (13) or microseconds (16). Digits beyond microseconds are cut off. Two
+    decimals), milliseconds (13) or microseconds (16). Digits beyond microseconds are cut off, however many; texts may have any length. Two
     formats may give one instant (05/05/2021): both are listed, as the format matters to the search.
     """
-    if text is None or not (t := text.strip()) or len(t) > 200:
+    if text is None or not (t := text.strip()):
         return []
     if m := _NUMBER.fullmatch(t):
         if m[1]:

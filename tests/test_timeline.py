@@ -112,3 +112,20 @@ def test_field_values(spark):
     rows = [(1, "UTC", "A", "1519545463", None, "x")] * 2 + [(2, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "meta_id long, tz_name string, camera_model string, date_taken string, date_created string, mtime string")
     assert t.field_values(df).count() == 6
+
+
+@pytest.mark.parametrize(
+    "text,us",
+    [
+        ("1600000000." + "1234567" + "8" * 190, 1_600_000_000_123_456),
+        ("2021-05-05T10:00:00." + "5" * 300 + "Z", 1_620_208_800_555_555),
+        ("2021-05-05" + " " * 300 + "10:00:00Z", 1_620_208_800_000_000),
+    ],
+)
+def test_long_texts_mean_what_short_ones_do(text, us):
+    assert {u for _, u in interpretations(text, None)} == {us}
+
+
+def test_long_junk_is_left_at_once():
+    for junk in ("2021-05-05" + " " * 20_000 + "x", "1" * 20_000, "monday, " + "may " * 5_000, "2021-05-05 10:00:00." + "1" * 20_000 + "x", "5 may" + " " * 20_000):
+        assert interpretations(junk, "UTC") == []

@@ -22,6 +22,8 @@ SHARD_CODES, LINKS, ENTRIES, EXPAND = 196_608, 24, 4_096, 8
 #: Beams tried in turn, the recall to reach, probes per shard.
 BEAMS, TARGET_RECALL, PROBES = (32, 48, 64, 96, 128, 192, 256, 384), 0.995, 512
 BUILD_BEAM, BATCH = 48, 1_024
+#: The segment of history; small shards an index holds before they are compacted.
+FIRST, MOST_SMALL = -(1 << 31), 16
 #: Stands for a search of all codes, where no beam reaches the target; queries compared at once in it.
 EXHAUSTIVE, FEW = 0, 16
 _U = np.uint32
@@ -184,12 +186,15 @@ def tuned_beam(codes: np.ndarray, links: np.ndarray, radius: int) -> tuple[int,
 SHARD_SCHEMA = "shard long, segment int, codes binary, links binary, n int, beam int, recall double"
 
 
-def build_shards(codes: DataFrame, radius: int) -> DataFrame:
-    """Index shards of `codes(segment int, phash long)`, distinct; segments of any size, shards of about SHARD_CODES codes."""
+def build_shards(codes: DataFrame, radius: int, after: int = 0) -> DataFrame:
+    """Index shards of `codes(segment int, phash long)`, distinct; segments of any size, shards of about SHARD_CODES codes.
+
+    Within a segment they are numbered from `after`.
+    """
     c = codes.where("phash is not null and segment is not null").distinct()
     sizes = c.groupBy("segment").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_CODES)).cast("long").alias("parts"))
     # one row per segment, a number of batches: the planner broadcasts it or not by its size
-    placed = c.join(sizes, "segment").withColumn("shard", F.col("segment") * F.lit(1 << 32) + F.pmod(F.xxhash64("phash"), F.col("parts")))
+    placed = c.join(sizes, "segment").withColumn("shard", F.col("segment") * F.lit(1 << 32) + F.lit(after) + F.pmod(F.xxhash64("phash"), F.col("parts")))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         codes = np.sort(pdf["phash"].to_numpy(np.int64)).view(np.uint64)
@@ -242,32 +247,62 @@ def compact(shards: DataFrame, radius: int, least: int = SHARD_CODES // 2) -> Da
                 yield pd.DataFrame({"segment": int(s), "phash": np.frombuffer(c, np.int64)})
 
     loose = small.select("segment", "codes").mapInPandas(unpack, "segment int, phash long")
+    kept = shards.where(F.col("n") >= least)
     top = small.agg(F.max("segment").alias("top"))
+    # beyond the numbers of kept shards of that segment
+    last = kept.join(F.broadcast(top), F.col("segment") == F.col("top")).agg(F.max(F.col("shard") - F.col("segment") * F.lit(1 << 32))).first()[0]
     merged = loose.crossJoin(F.broadcast(top)).select(F.col("top").alias("segment"), "phash").distinct()  # top: one row
-    return shards.where(F.col("n") >= least).unionByName(build_shards(merged, radius))
+    return kept.unionByName(build_shards(merged, radius, 0 if last is None else last + 1))
+
+
+def extend_index(index: DataFrame, incoming: DataFrame, *, radius: int = 6, most: int = MOST_SMALL) -> DataFrame:
+    """The index after the batches of `incoming(batch_no, phash)`: a shard for each, compacted when over `most` are small."""
+    new = incoming.select(F.col("batch_no").cast("int").alias("segment"), "phash")
+    grown = cut(index.unionByName(build_shards(new, radius)))
+    if grown.where(F.col("n") < SHARD_CODES // 2).limit(most + 1).count() <= most:
+        return grown
+    return cut(compact(grown, radius))
+
 
+def history_index(history: DataFrame, *, radius: int = 6) -> DataFrame:
+    """The first index, of `history(phash)`: shards to store and give to `history_matches` with each new batch."""
+    return cut(build_shards(history.select(F.lit(FIRST).cast("int").alias("segment"), "phash"), radius))
 
-def history_matches(history: DataFrame, incoming: DataFrame, *, radius: int = 6) -> DataFrame:
+
+def history_matches(history: DataFrame, incoming: DataFrame, *, radius: int = 6, index: DataFrame | None = None) -> DataFrame:
     """Pairs (id_a, id_b), smaller id first, of an incoming row with a history row or one of a lower batch.
 
     `history(id, content_hash, phash)` is segment 0; `incoming(batch_no, id, content_hash, phash)`
     has its batch as segment. A pair matches on equal hashes apart from case, or on codes at most
     `radius` apart. Null hashes and codes match nothing; rows without id or batch are left out;
     repeated rows count once; batches need not be numbered from 1. Empty tables give no rows.
+
+    `index` (from `history_index`, then `extend_index` after each call) holds the codes of all history
+    rows, so only shards of the incoming batches are built; earlier batches are then history rows, and
+    batch numbers must be above those in the index.
     """
-    first = -(1 << 31)
-    old = history.select(F.lit(first).cast("int").alias("segment"), "id", F.lower("content_hash").alias("hash"), "phash")
+    old = history.select(F.lit(FIRST).cast("int").alias("segment"), "id", F.lower("content_hash").alias("hash"), "phash")
     new = incoming.select(F.col("batch_no").cast("int").alias("segment"), "id", F.lower("content_hash").alias("hash"), "phash")
     rows = old.unionByName(new).where("id is not null and segment is not null")
-    asked = rows.where(F.col("segment") > first)
+    asked = rows.where(F.col("segment") > FIRST)
     # equal contents: an equi-join; what a hash held by many rows yields is the result itself
     a = asked.where("hash is not null").select("hash", F.col("id").alias("x"), F.col("segment").alias("xs"))
     b = rows.where("hash is not null").select("hash", F.col("id").alias("y"), F.col("segment").alias("ys"))
     same = a.join(b, "hash").where("xs > ys").select("x", "y")
-    shards = cut(build_shards(rows.select("segment", "phash"), radius))
+    if index is None:
+        shards = cut(build_shards(rows.select("segment", "phash"), radius))
+    else:
+        top, low = index.agg(F.max("segment")).first()[0], asked.agg(F.min("segment")).first()[0]
+        if top is not None and low is not None and low <= top:
+            raise ValueError(f"batch {low} is not above batch {top} of the index")
+        shards = cut(index.unionByName(build_shards(asked.select("segment", "phash"), radius)))
     hits = cut(search_shards(asked.select("segment", "phash"), shards, radius))
     by_code = asked.select("segment", F.col("phash").alias("q"), F.col("id").alias("x"))
     known = rows.select(F.col("segment").alias("hit_segment"), "phash", F.col("id").alias("y"))
-    near = hits.join(by_code, ["segment", "q"]).join(known, ["hit_segment", "phash"]).select("x", "y")
+    if index is None:
+        near = hits.join(by_code, ["segment", "q"]).join(known, ["hit_segment", "phash"]).select("x", "y")
+    else:
+        # back to rows by code: compaction moves codes to another segment, history rows have one
+        near = hits.select("segment", "q", "phash").distinct().join(by_code, ["segment", "q"]).join(known, "phash").where("segment > hit_segment").select("x", "y")
     pairs = same.unionByName(near).where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return pairs.distinct()

@@ -101,3 +101,31 @@ def test_cluster_does_not_decide_the_beam():
     beam, recall = h.tuned_beam(c, alone, 6)
     q, k = h.within(c[-50:], c, alone, beam, 0)
     assert recall >= h.TARGET_RECALL and len(q) == 50
+
+
+def test_compaction_gives_fresh_numbers(spark, monkeypatch):
+    monkeypatch.setattr(h, "SHARD_CODES", 100)
+    c = [int(x) for x in codes(400).view(np.int64)]
+    shards = h.build_shards(spark.createDataFrame([(3, x) for x in c], "segment int, phash long"), 6)
+    sizes = sorted(r.n for r in shards.select("n").collect())
+    packed = h.compact(shards, 6, least=sizes[2]).select("shard", "n").collect()
+    assert len({r.shard for r in packed}) == len(packed) and sum(r.n for r in packed) == len(c)
+
+
+def test_stored_index_gives_the_same_pairs_batch_by_batch(spark):
+    rng = np.random.default_rng(8)
+    base = [int(x) for x in codes(150).view(np.int64)]
+    old = [(i, None, b, "") for i, b in enumerate(base)]
+    new = [(1 + i % 3, 1000 + i, None, int(near(np.uint64(base[i] % 2**64), rng, 8).view(np.int64)), 0) for i in range(60)]
+    new += [(3, 2000, None, new[0][3], 0)]
+    got, index = set(), h.history_index(spark.createDataFrame(old, SCHEMA_OLD))
+    past = list(old)
+    for b in (1, 2, 3):
+        batch = [r for r in new if r[0] == b]
+        df = spark.createDataFrame(batch, SCHEMA_NEW)
+        got |= {(r.id_a, r.id_b) for r in h.history_matches(spark.createDataFrame(past, SCHEMA_OLD), df, index=index).collect()}
+        index = h.extend_index(index, df, most=1)
+        past += [(r[1], r[2], r[3], "") for r in batch]
+    assert index.count() == 1 and got == set(run(spark, old, new)) and (1000, 2000) in got
+    with pytest.raises(ValueError):
+        h.history_matches(spark.createDataFrame(past, SCHEMA_OLD), df, index=index)

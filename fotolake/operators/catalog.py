@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fotolake.functions import media as m
+from fotolake.runtime import cut, skew_join
 from fotolake.schema import LEDGER, MEDIA, META_VERSION, evolve
 
 ALL, VISIBLE_ONLY = "all", "visible_only"
 DERIVED = ("content_hash", "phash", "dom_color")
 
 
+#: Rows without digest are spread over so many join keys; they match nothing.
+NULL_PARTS = 4_096
+
+
 def with_user_meta(media: DataFrame, user_meta: DataFrame) -> DataFrame:
-    """Every media row with the user's fields of its content; an unknown content matches nothing."""
-    u = user_meta.select("content_hash", "hidden", "rating", "kind")
-    joined = media.join(u, "content_hash", "left")
+    """Every media row with the user's fields of its content; an unknown content matches nothing.
+
+    A null digest means "never needed" and may stand in half of all rows: those go to many tasks, not to the one of the null key.
+    """
+    u = user_meta.select("content_hash", "hidden", "rating", "kind", F.lit(0).cast("long").alias("_part"))
+    part = F.when(F.col("content_hash").isNull(), F.pmod(F.xxhash64("path"), F.lit(NULL_PARTS))).otherwise(F.lit(0)).cast("long")
+    joined = media.withColumn("_part", part).join(u, ["content_hash", "_part"], "left")
     return joined.select(*[c for c in media.columns], F.coalesce("hidden", F.lit(False)).alias("hidden"), m.clamp_rating("rating").alias("rating"), m.known_kind("kind").alias("kind"))
 
 
@@ -227,13 +235,49 @@ def mark_restored(ledger: DataFrame, ids: DataFrame) -> DataFrame:
     return j.select(*[(F.col("restored") | F.coalesce("_hit", F.lit(False))).alias("restored") if c == "restored" else F.col(c) for c in ledger.columns])
 
 
+def _split_ext(target: str) -> tuple[Column, Column]:
+    """(everything before the extension's dot, the extension or empty) of a path column."""
+    ext = m.extension(F.col(target))
+    base = F.when(ext == "", F.col(target)).otherwise(F.expr(f"left({target}, char_length({target}) - char_length(regexp_extract(substring_index({target}, '/', -1), '(?s)^.+\\\\.([^.]*)$', 1)) - 1)"))
+    return base, ext
+
+
+def _with_suffix(base: Column, ext: Column, number: Column) -> Column:
+    return F.concat(base, F.lit("-"), number.cast("string"), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
+
+
 def unique_targets(rows: DataFrame, target: str, existing: DataFrame) -> DataFrame:
-    """Add `dest`: the target, or `stem-2.ext`, `stem-3.ext`... where it is taken by an existing file or an earlier row (by path)."""
-    taken = existing.select(F.col("path").alias(target)).distinct().withColumn("_taken", F.lit(1))
-    j = rows.join(taken, target, "left")
-    k = F.row_number().over(Window.partitionBy(target).orderBy("path")) + F.coalesce("_taken", F.lit(0))
-    t = F.col(target)
-    ext = m.extension(t)
-    base = F.when(ext == "", t).otherwise(F.expr(f"left({target}, char_length({target}) - char_length(regexp_extract(substring_index({target}, '/', -1), '(?s)^.+\\\\.([^.]*)$', 1)) - 1)"))
-    named = F.concat(base, F.lit("-"), k.cast("string"), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
-    return j.withColumn("dest", F.when(k == 1, t).otherwise(named)).drop("_taken")
+    """Add `dest`, which is neither in `existing(path)` nor the dest of another row (`rows` unique by path).
+
+    The first row by path that wants a free target gets it. All others of a target get `stem-2.ext`,
+    `stem-3.ext`... in path order, leaving out every number whose name exists or is wanted as it
+    stands by some row. Rows without target get none.
+    """
+    from fotolake.operators.ordering import group_rank
+
+    rows = cut(rows)
+    there = existing.select(F.col("path").alias(target)).where(F.col(target).isNotNull()).distinct()
+    first = rows.where(F.col(target).isNotNull()).groupBy(target).agg(F.min("path").alias("_first"))
+    free = cut(first.join(there, target, "left_anti"))
+    marked = skew_join(rows, free, target, "left")
+    plain = F.col("_first").isNull() & F.col(target).isNull() | (F.col("_first") == F.col("path"))
+    done = marked.where(F.coalesce(plain, F.lit(False))).select(*rows.columns, F.col(target).alias("dest"))
+    rest = cut(marked.where(~F.coalesce(plain, F.lit(False))).select(*rows.columns))
+    if rest.isEmpty():
+        return done
+    # names taken, told apart as target and number: one name belongs to one target only
+    base, ext = _split_ext("_name")
+    numbered = base.rlike("(?s)^.*-[1-9][0-9]{0,17}$")
+    taken = there.select(F.col(target).alias("_name")).unionByName(rows.select(F.col(target).alias("_name"))).where(F.col("_name").isNotNull()).distinct()
+    taken = taken.where(numbered).select(
+        F.concat(F.regexp_extract(base, "(?s)^(.*)-[0-9]+$", 1), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext))).alias(target), F.regexp_extract(base, "-([0-9]+)$", 1).cast("long").alias("_b")
+    )
+    taken = taken.where("_b >= 2").join(rest.select(target).distinct(), target, "left_semi")
+    waiting = group_rank(rest.select(target, "path"), [target], ["path"], "_i")
+    # before its j-th taken number b a target has b - 1 - j free ones: a row comes after those with fewer free ones than its place
+    blocked = group_rank(taken, [target], ["_b"], "_j").select(target, F.lit(None).cast("string").alias("path"), (F.col("_b") - 1 - F.col("_j")).alias("_i"), F.lit(1).alias("_taken"))
+    events = waiting.withColumn("_taken", F.lit(0)).unionByName(blocked)
+    spot = group_rank(events, [target], ["_i", "_taken", "path"], "_k").where("_taken = 0").select("path", "_k")
+    base, ext = _split_ext(target)
+    named = rest.join(spot, "path").select(*rows.columns, _with_suffix(base, ext, F.col("_k") + 1).alias("dest"))
+    return done.unionByName(named)

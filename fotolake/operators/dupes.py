@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from fotolake.functions import media as m
 from fotolake.operators.similarity import components, hamming_pairs
-from fotolake.runtime import cut
+from fotolake.runtime import cut, skew_join
 
 EXACT, NEAR, BURST = "exact", "near", "burst"
 LABELS = {EXACT: "identical", NEAR: "similar", BURST: "burst"}
@@ -81,12 +81,14 @@ def burst_members(rows: DataFrame, window_s: int = 2, by_kind: bool = False) ->
     runs = secs.groupBy("scope", "_cam", "_slice", "_run").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     ends = runs.groupBy("scope", "_cam", "_slice").agg(F.max_by("a", "b").alias("la"), F.max("b").alias("lb"))
     joins = runs.where("_run = 1").join(ends.select("scope", "_cam", (F.col("_slice") + 1).alias("_slice"), "la", "lb"), ["scope", "_cam", "_slice"]).where(f"a - lb <= {int(window_s)}")
-    # runs that touch across slices: components over run names
-    name = lambda a: F.xxhash64("scope", "_cam", a)
+    # runs that touch across slices: components over runs, named by what they are
+    name = lambda start: F.struct("scope", "_cam", F.col(start).alias("start"))
     roots = components(joins.select(name("a").alias("x"), name("la").alias("y")), "x", "y")
-    runs = runs.withColumn("v", name("a")).join(roots, "v", "left").select("scope", "_cam", "_slice", "_run", F.coalesce("root", "v").alias("root"))
-    named = secs.join(runs, ["scope", "_cam", "_slice", "_run"]).select("scope", "_cam", F.col("t").alias("date_taken"), "root")
-    out = r.join(named, ["scope", "_cam", "date_taken"]).withColumn("group_key", F.col("root").cast("string"))
+    runs = runs.withColumn("v", name("a")).join(roots, "v", "left").select("scope", "_cam", "_slice", "_run", F.coalesce("root", "v")["start"].alias("root"))
+    named = cut(secs.join(runs, ["scope", "_cam", "_slice", "_run"]).select(F.struct("scope", "_cam", F.col("t").alias("date_taken")).alias("_second"), "root"))
+    # a camera's rows of one second may be any number
+    r = cut(r.drop("_slice").withColumn("_second", F.struct("scope", "_cam", "date_taken")))
+    out = skew_join(r, named, "_second").withColumn("group_key", F.concat(F.col("root").cast("string"), F.lit(" "), "_cam"))
     return _not_all_same(out).withColumn("dup_kind", F.lit(BURST)).select(*_member_cols(rows))
 
 
@@ -100,15 +102,28 @@ def with_keeper(members: DataFrame) -> DataFrame:
 def spreads(members: DataFrame) -> DataFrame:
     """Greatest distance between any two members with a hash, per group: dup_kind, scope, group_key, spread.
 
-    Hash classes are compared in blocks: one side is spread over salts, so a large group is many tasks.
+    Two passes over the group find its centre (the majority of each bit) and a distance it surely
+    has: from the hash farthest from the centre to the one farthest from that. Two hashes can only be
+    farther apart if their distances from the centre sum to more, so only the outer ones are compared
+    with each other, spread over salts. Exact.
     """
     keys = ["dup_kind", "scope", "group_key"]
     h = cut(members.where("phash is not null").select(*keys, "phash").distinct())
+    ones = [F.sum(F.getbit("phash", F.lit(i)).cast("long")).alias(f"_{i}") for i in range(64)]
+    bits = [F.when(F.col(f"_{i}") * 2 > F.col("_n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
+    centre = bits[0]
+    for bit in bits[1:]:
+        centre = centre.bitwiseOR(bit)
+    centres = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *ones).where("_n > 1").select(*keys, centre.alias("_c"))
+    h = cut(h.join(centres, keys).withColumn("_r", m.hamming("phash", "_c")))
+    outer = h.groupBy(*keys).agg(F.max(F.struct("_r", "phash")).alias("_o")).select(*keys, F.col("_o._r").alias("_top"), F.col("_o.phash").alias("_q"))
+    reached = h.join(outer, keys).groupBy(*keys, "_top").agg(F.max(m.hamming("phash", "_q")).alias("_least"))
+    h = cut(h.join(reached, keys).where("_r + _top > _least").select(*keys, "phash", "_r", "_least"))
     salts = 16
     left = h.withColumn("_s", F.pmod(F.xxhash64("phash"), F.lit(salts)).cast("int"))
-    right = h.select(*keys, F.col("phash").alias("other"), F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_s"))
-    pairs = left.join(right, [*keys, "_s"]).where("phash < other")
-    return pairs.groupBy(*keys).agg(F.max(m.hamming("phash", "other")).alias("spread"))
+    right = h.select(*keys, F.col("phash").alias("other"), F.col("_r").alias("_q"), F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_s"))
+    wider = left.join(right, [*keys, "_s"]).where("phash < other and _r + _q > _least").groupBy(*keys).agg(F.max(m.hamming("phash", "other")).alias("_far"))
+    return reached.join(wider, keys, "left").select(*keys, F.greatest("_least", "_far").alias("spread"))
 
 
 def groups(members: DataFrame) -> DataFrame:

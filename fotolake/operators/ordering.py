@@ -6,7 +6,6 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fotolake.functions import media as m
 from fotolake.runtime import cut, slots
@@ -19,18 +18,30 @@ _MASK = (1 << 64) - 1
 def global_rank(df: DataFrame, keys: Sequence[str | Column], name: str = "rank") -> DataFrame:
     """Add the 1-based rank by `keys` (which should end in a unique one), sorted by range on all tasks.
 
-    The rank inside a range plus the size of the ranges before it; one count per range reaches the driver.
+    One shuffle: rows are ranged and sorted in place, the place in a range comes from the row number
+    Spark gives inside a partition, and one count per range reaches the driver. The ranked rows are
+    written once (range bounds are sampled, so they must not be drawn again): select what is needed first.
     """
-    ranged = cut(df.repartitionByRange(slots(df.sparkSession), *keys).withColumn("_pid", F.spark_partition_id()))
-    sizes = dict(ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    before, pairs = 0, []
-    for pid in sorted(sizes):
-        pairs += [F.lit(pid), F.lit(before).cast("long")]
-        before += sizes[pid]
-    if not pairs:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(*keys))
-    return ranged.withColumn(name, F.element_at(F.create_map(*pairs), F.col("_pid")) + inside).drop("_pid")
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(slots(spark), *keys).sortWithinPartitions(*keys)
+    # upper bits: the partition, lower 33 bits: the place in it
+    ranged = cut(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(F.shiftright("_at", 33).alias("_pid")).agg(F.count(F.lit(1)).alias("n")).collect()
+    offsets, before = [], 0
+    for pid, n in sorted((r["_pid"], r["n"]) for r in sizes):
+        offsets.append((pid, before))
+        before += n
+    starts = spark.createDataFrame(offsets, "_pid long, _start long")  # a row per range
+    out = ranged.withColumn("_pid", F.shiftright("_at", 33)).join(F.broadcast(starts), "_pid")
+    return out.select(*df.columns, (F.col("_start") + place + 1).alias(name))
+
+
+def group_rank(df: DataFrame, groups: Sequence[str], keys: Sequence[str | Column], name: str = "rank") -> DataFrame:
+    """Add the 1-based rank by `keys` within each group (no null groups): the rank overall less that of the group's first row, so no group is one task."""
+    ranked_rows = global_rank(df, [*groups, *keys], "_g")
+    first = ranked_rows.groupBy(*groups).agg(F.min("_g").alias("_f"))
+    return ranked_rows.join(first, list(groups)).select(*df.columns, (F.col("_g") - F.col("_f") + 1).alias(name))
 
 
 def order_keys(order: str) -> list[Column]:

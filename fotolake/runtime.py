@@ -20,6 +20,7 @@ def session(app: str = "fotolake", cpus: int | None = None) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -33,9 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a machine-local one is made only where the session names none (tests)."""
+    """The folder all executors share. Where the session names none, a folder of this machine serves a local session; a cluster is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         named = "file://" + tempfile.mkdtemp(prefix="fotolake-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -63,38 +67,54 @@ HEAVY_PARTS = 2_000
 
 
 def heavy_keys(left: DataFrame, key: str) -> DataFrame:
-    """Keys holding over 1/HEAVY_PARTS of the rows of `left` (fewer than HEAVY_PARTS keys by construction)."""
-    n = left.count()
-    least = max(n // HEAVY_PARTS, 1_000)
-    return left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > least) & F.col(key).isNotNull()).select(key)
+    """Keys holding over 1/HEAVY_PARTS of the rows of `left` (fewer than HEAVY_PARTS keys by construction).
+
+    `left` is read once: the counts per key are shuffled once and their sum reuses that exchange.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))  # one row
+    heavy = F.col("_n") > F.greatest(F.expr(f"_all div {HEAVY_PARTS}"), F.lit(1_000))
+    return counts.crossJoin(F.broadcast(total)).where(heavy & F.col(key).isNotNull()).select(key)
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
     """Join where `left` may hold a third of its rows under one key and `right` is unique by key.
 
     Rows of `right` under a heavy key number fewer than HEAVY_PARTS, so they are broadcast; the
-    other keys hold at most 1/HEAVY_PARTS of the rows each and go through an ordinary shuffle.
-    `how` is inner, left or left_semi. `heavy` gives the heavy keys where the caller has counted.
+    other keys hold at most 1/HEAVY_PARTS of the rows each and go through an ordinary shuffle, rows
+    with a null key through none. `how` is inner, left or left_semi. `heavy` gives the heavy keys
+    where the caller has counted. Both sides are read more than once (`left` three times, `right`
+    twice), so they should be tables or cut.
     """
     heavy = cut(heavy_keys(left, key) if heavy is None else heavy.select(key))
     bound = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
     marked = left.join(bound, key, "left")
-    hot, cold = marked.where("_heavy").drop("_heavy"), marked.where("_heavy is null").drop("_heavy")
+    # a left join keeps rows without a key; with the hot ones they stay where they are
+    hot = marked.where("_heavy" if how != "left" else f"_heavy or `{key}` is null").drop("_heavy")
+    cold = marked.where(f"_heavy is null and `{key}` is not null").drop("_heavy")
     hot_right = F.broadcast(right.join(F.broadcast(heavy), key, "left_semi"))
     return hot.join(hot_right, key, how).unionByName(cold.join(right, key, how))
 
 
-#: Bits of the filter in `maybe_in`; broadcast as at most FILTER_BITS / 64 rows of two longs.
-FILTER_BITS = 1 << 22
+#: Bits per id of the filter in `maybe_in` (about one row in twelve gets through by chance), and its bits at least and at
+#: most; broadcast as one row of two longs per 64 bits, so under 40 MB.
+BITS_PER_ID, LEAST_BITS, MOST_BITS = 12, 1 << 16, 1 << 27
+
+
+def filter_bits(ids: int) -> int:
+    """Bits of a filter over so many ids: a power of two, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_ID * max(ids, 1) - 1).bit_length()))
 
 
 def maybe_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of `df` whose key may be in `ids` (all that are, and a few more), told by a bitmap of fixed size.
+    """The rows of `df` whose key may be in `ids` (all that are, and a few more), told by a bitmap sized by the number of ids.
 
-    Spares wide rows a shuffle before an exact join. The bitmap never grows: with far more ids than
-    bits it lets all rows through, which costs that shuffle and nothing else.
+    Spares wide rows a shuffle before an exact join. `ids` is counted, so it should be cut. Beyond
+    MOST_BITS / BITS_PER_ID ids (11 million) the bitmap grows no more and lets more rows through,
+    which costs that shuffle and nothing else.
     """
-    spot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = filter_bits(ids.count())
+    spot = F.pmod(F.xxhash64(key), F.lit(bits))
     at = F.expr("shiftleft(1L, cast(_spot % 64 as int))")
     words = ids.select(spot.alias("_spot")).groupBy(F.expr("_spot div 64").alias("_word")).agg(F.bit_or(at).alias("_bits"))
     seen = df.withColumn("_spot", spot).withColumn("_word", F.expr("_spot div 64")).join(F.broadcast(words), "_word")

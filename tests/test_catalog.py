@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from fotolake.functions import media as m
@@ -80,3 +82,27 @@ def test_unique_targets(spark):
     rows = spark.createDataFrame([("/1", "/v/a.jpg"), ("/2", "/v/a.jpg"), ("/3", "/v/.rc"), ("/4", "/v/free")], "path string, target string")
     there = spark.createDataFrame([("/v/a.jpg",), ("/v/.rc",)], "path string")
     assert {r.path: r.dest for r in c.unique_targets(rows, "target", there).collect()} == {"/1": "/v/a-2.jpg", "/2": "/v/a-3.jpg", "/3": "/v/.rc-2", "/4": "/v/free"}
+
+
+def test_unique_targets_never_take_a_wanted_or_existing_name(spark):
+    there = spark.createDataFrame([("/v/a.jpg",), ("/v/a-2.jpg",), ("/v/a-4.jpg",), ("/v/a-05.jpg",), (None,)], "path string")
+    rows = spark.createDataFrame([("/1", "/v/a.jpg"), ("/2", "/v/a.jpg"), ("/3", "/v/a-3.jpg"), ("/4", "/v/a.jpg"), ("/5", "/v/a-3.jpg"), ("/6", None), ("/7", "/v/a-3-2.jpg")], "path string, target string")
+    got = {r.path: r.dest for r in c.unique_targets(rows, "target", there).collect()}
+    assert got == {"/1": "/v/a-5.jpg", "/2": "/v/a-6.jpg", "/3": "/v/a-3.jpg", "/4": "/v/a-7.jpg", "/5": "/v/a-3-3.jpg", "/6": None, "/7": "/v/a-3-2.jpg"}
+
+
+def test_unique_targets_of_random_families(spark):
+    rng = random.Random(3)
+    name = lambda: f"/v/{rng.choice('ab')}{rng.choice(['', '-2', '-3', '-2-2', '-10'])}{rng.choice(['', '.jpg'])}"
+    there = {name() for _ in range(8)}
+    rows = [(f"/{k:03}", name()) for k in range(120)]
+    got = c.unique_targets(spark.createDataFrame(rows, "path string, target string"), "target", spark.createDataFrame([(x,) for x in there], "path string")).collect()
+    assert len(got) == 120 and len({r.dest for r in got}) == 120 and not {r.dest for r in got} & there
+    assert sum(r.dest == r.target for r in got) == len({t for _, t in rows} - there)
+
+
+def test_rows_without_digest_match_nothing(spark, media):
+    rows = media(*[{"content_hash": None}] * 40, {"content_hash": "h"})
+    u = users(spark, ("h", False, 4, None)).unionByName(spark.createDataFrame([(None, True, 5, "photo", 0)], "content_hash string, hidden boolean, rating int, kind string, updated_at long"))
+    got = c.with_user_meta(rows, u).collect()
+    assert len(got) == 41 and [r.id for r in got if r.rating] == [41]

@@ -1,9 +1,11 @@
 import random
+from math import comb
 
 import pytest
 from pyspark.sql import functions as F
 
 from fotolake.operators import dupes as d
+from fotolake.operators import similarity
 from fotolake.operators.similarity import choose_blocks, components, hamming_pairs
 
 
@@ -82,6 +84,30 @@ def test_hamming_join_equals_brute_force(spark, radius):
 
 def test_blocks_grow_with_rows():
     assert choose_blocks(100, 6) == (7, 1) and choose_blocks(50_000, 6) == (8, 2)
+    pairs = lambda n, t: n * n / 2 ** (64 * choose_blocks(n, t)[1] / choose_blocks(n, t)[0]) * comb(*choose_blocks(n, t))
+    assert pairs(10**8, 6) < 1000**1.4 * pairs(10**5, 6)
+    # keys go on growing with the rows, for any radius
+    assert choose_blocks(10**10, 6)[1] > choose_blocks(10**8, 6)[1] and choose_blocks(10**7, 12)[1] > choose_blocks(10**5, 12)[1]
+
+
+def test_spread_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    signed = lambda c: c - 2**64 if c >= 2**63 else c
+    groups = {str(g): {rng.getrandbits(64)} for g in range(6)}
+    for g, codes in groups.items():
+        for _ in range(int(g) * 25):
+            codes.add(rng.choice(sorted(codes)) ^ (1 << rng.randrange(64)))
+    rows = [("near", "all", g, signed(c)) for g, codes in groups.items() for c in codes] + [("near", "all", "none", None), ("near", "all", "0", signed(min(groups["0"])))]
+    got = {r.group_key: r.spread for r in d.spreads(spark.createDataFrame(rows, "dup_kind string, scope string, group_key string, phash long")).collect()}
+    assert got == {g: max(bin(a ^ b).count("1") for a in codes for b in codes) for g, codes in groups.items() if len(codes) > 1}
+
+
+def test_a_hub_is_spread_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "EDGES_PER_SALT", 20)
+    pairs = [(7, k) for k in range(100, 400)] + [(399, 400), (1, 2)]
+    assert similarity.salted_arcs(spark.createDataFrame(pairs, "a long, b long")).where("src = 7 and hop = 1").select("salt").distinct().count() == 15
+    got = {r.v: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {7: 7, 1: 1, 2: 1} | {k: 7 for k in range(100, 401)}
 
 
 def test_components_equal_union_find(spark):

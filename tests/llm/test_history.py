@@ -108,8 +108,8 @@ def test_compaction_gives_fresh_numbers(spark, monkeypatch):
     c = [int(x) for x in codes(400).view(np.int64)]
     shards = h.build_shards(spark.createDataFrame([(3, x) for x in c], "segment int, phash long"), 6)
     sizes = sorted(r.n for r in shards.select("n").collect())
-    packed = h.compact(shards, 6, least=sizes[2]).select("shard", "n").collect()
-    assert len({r.shard for r in packed}) == len(packed) and sum(r.n for r in packed) == len(c)
+    packed = h.compact(shards, 6, least=sizes[2]).select(*h.SHARD, "n").collect()
+    assert len({tuple(r[:5]) for r in packed}) == len(packed) and sum(r.n for r in packed) == len(c)
 
 
 def test_stored_index_gives_the_same_pairs_batch_by_batch(spark):
@@ -129,3 +129,48 @@ def test_stored_index_gives_the_same_pairs_batch_by_batch(spark):
     assert index.count() == 1 and got == set(run(spark, old, new)) and (1000, 2000) in got
     with pytest.raises(ValueError):
         h.history_matches(spark.createDataFrame(past, SCHEMA_OLD), df, index=index)
+
+
+def test_regions_lose_no_pair_and_spare_shards(spark, monkeypatch):
+    monkeypatch.setattr(h, "SHARD_CODES", 60)
+    monkeypatch.setattr(h, "REGION_FROM", 4)
+    monkeypatch.setattr(h, "BLOCK_QUERIES", 50)
+    rng = np.random.default_rng(12)
+    base = codes(600, 3)
+    crowd = np.unique(base[:200] & ~np.uint64(0x1FF))  # a third of all codes share a region of the first block
+    c = np.unique(np.concatenate([base, crowd]))
+    q = np.unique(np.array([near(x, rng, 7) for x in c[::3]]))
+    rows = lambda xs, s: [(s, int(x)) for x in xs.view(np.int64)]
+    shards = h.build_shards(spark.createDataFrame(rows(c, 0), "segment int, phash long"), 6).cache()
+    names = shards.select(*h.SHARD, "tables", "bits", "n").collect()
+    assert {(r.tables, r.bits) for r in names} == {(7, 4)} and max(r.n for r in names) < 130
+    assert sum(r.n for r in names) == 7 * len(c) and max(r.part for r in names if r.tab == 0 and r.val == 0) >= 2
+    asked = spark.createDataFrame(rows(q, 5), "segment int, phash long")
+    got = {(r.q, r.phash) for r in h.search_shards(asked, shards, 6).collect()}
+    truth = {(int(x), int(y)) for i, x in enumerate(q.view(np.int64)) for y in c[h.hamming(c, q[i]) <= 6].view(np.int64)}
+    assert got == truth == {(r.q, r.phash) for r in h.search_shards(asked, shards, 6, exact=True).collect()}
+    with pytest.raises(ValueError):
+        h.search_shards(asked, shards, 7)
+    # an index of regions grows by batches as any other
+    grown = h.extend_index(shards, spark.createDataFrame([(1, int(x)) for x in q.view(np.int64)[:50]], "batch_no int, phash long"))
+    assert {(r.segment, r.tables) for r in h.index_shards(grown).collect()} == {(0, 7), (1, 1)}
+
+
+def test_a_batch_against_an_index_builds_no_shard(spark, monkeypatch):
+    old = [(i, None, int(x), "") for i, x in enumerate(codes(50).view(np.int64))]
+    index = h.history_index(spark.createDataFrame(old, SCHEMA_OLD))
+    monkeypatch.setattr(h, "build_shards", None)
+    got = h.history_matches(spark.createDataFrame(old, SCHEMA_OLD), spark.createDataFrame([(1, 90, None, old[7][2] ^ 1, 0)], SCHEMA_NEW), index=index)
+    assert [tuple(r) for r in got.collect()] == [(7, 90)]
+
+
+def test_classes_of_copies(spark):
+    old = [(k, "hot", 5, "") for k in range(1, 60)] + [(100, None, 6, ""), (101, None, 6, ""), (102, None, None, "")]
+    new = [(1, k, "HOT", 5, 0) for k in range(200, 260)] + [(2, 300, "hot", None, 0), (2, 301, None, 2, 0)]
+    a, b = spark.createDataFrame(old, SCHEMA_OLD), spark.createDataFrame(new, SCHEMA_NEW)
+    got = h.history_classes(a, b).collect()
+    match = {(r.id_a, r.id_b) for r in got if r.relation == "match"}
+    name = {r.id_b: r.id_a for r in got if r.relation == "same"}
+    assert match == {(1, 200), (1, 300), (200, 300), (1, 301), (200, 301), (100, 200), (100, 301)} and name[59] == 1 and name[101] == 100 and 102 not in name
+    rep = lambda x: name.get(x, x)
+    assert {tuple(sorted((rep(r.id_a), rep(r.id_b)))) for r in h.history_matches(a, b).collect()} == match

@@ -87,6 +87,8 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", h
     twice), so they should be tables or cut.
     """
     heavy = cut(heavy_keys(left, key) if heavy is None else heavy.select(key))
+    if how != "left" and heavy.isEmpty():
+        return left.join(right, key, how)
     bound = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
     marked = left.join(bound, key, "left")
     # a left join keeps rows without a key; with the hot ones they stay where they are

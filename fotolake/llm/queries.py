@@ -11,10 +11,11 @@ from fotolake.llm.history import history_matches
 from fotolake.llm.leaks import RUN_WORDS, leaked_items
 from fotolake.llm.mixture import mixture, shares
 from fotolake.llm.spans import shared_spans
-from fotolake.llm.survivors import Bundle, Dependency, choose_survivors, members_of, picture_order
+from fotolake.llm.survivors import PICTURE, Bundle, Dependency, choose_survivors, members_of
 from fotolake.runtime import table
 
 #: Columns of `media` that decide survivors.
+_RANKED = ["id", "path", "size", "mtime", "date_taken", "camera_model", "width", "height"]
 _KEPT = ["id", "path", "size", "mtime", "date_taken", "camera_make", "camera_model", "lens", "iso", "width", "height", "content_hash", "lat", "lon"]
 _HAS_CAMERA = "camera_model is not null and trim(camera_model) <> ''"
 
@@ -34,28 +35,36 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_matches(_present(spark, sf_dir), table(spark, sf_dir, "incoming"), radius=6)
 
 
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = _present(spark, sf_dir).select(*_KEPT).distinct()
-    return members_of(table(spark, sf_dir, "dup_groups"), media, "group_id", "members", "id")
+def _members(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    return members_of(table(spark, sf_dir, "dup_groups"), _present(spark, sf_dir).select(*columns), "group_id", "members", "id")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row to keep of each group, and the best member for its date and camera."""
-    bundles = [Bundle("keeper", "true"), Bundle("date_taken", "date_taken > 0"), Bundle("camera_model", _HAS_CAMERA)]
-    return choose_survivors(_members(spark, sf_dir), bundles, picture_order(), depth=1)
+    """The row to keep of each group, and the best member for its date and camera.
+
+    The contract wants the first member by picture that has the field, whatever the others say: three
+    bundles without dependencies, for which the search proves each first candidate best.
+    """
+    bundles = [
+        Bundle("keeper", "true", ("path", "size", "width", "height")),
+        Bundle("date_taken", "date_taken > 0", ("date_taken",)),
+        Bundle("camera_model", _HAS_CAMERA, ("camera_model",)),
+    ]
+    return choose_survivors(_members(spark, sf_dir, _RANKED), bundles)
 
 
 def p6_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survivors built from whole bundles that must agree on the content: the same bytes have one size of picture and file."""
+    """Survivors built from whole bundles, each with its own trust, that must agree: the same bytes have one size of picture, a camera its own time."""
+    whole = "-(cast(camera_make is not null as int) + cast(lens is not null as int) + cast(iso is not null as int))"
     bundles = [
         Bundle("identity", "content_hash is not null", ("content_hash", "size"), 4.0),
         Bundle("picture", "width is not null and height is not null", ("width", "height"), 3.0),
-        Bundle("camera", _HAS_CAMERA, ("camera_make", "camera_model", "lens", "iso"), 2.0),
-        Bundle("time", "date_taken > 0", ("date_taken",), 2.0),
-        Bundle("place", "lat is not null and lon is not null", ("lat", "lon"), 1.0),
+        Bundle("camera", _HAS_CAMERA, ("camera_make", "camera_model", "lens", "iso"), 2.0, (whole, *PICTURE)),
+        Bundle("time", "date_taken > 0", ("date_taken",), 2.0, ("mtime", "id")),
+        Bundle("place", "lat is not null and lon is not null", ("lat", "lon"), 1.0, ("-mtime", "id")),
     ]
     deps = [Dependency("content_hash", "width"), Dependency("content_hash", "height"), Dependency("camera_model", "date_taken")]
-    return choose_survivors(_members(spark, sf_dir), bundles, picture_order(), dependencies=deps)
+    return choose_survivors(_members(spark, sf_dir, _KEPT), bundles, dependencies=deps)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +121,31 @@ WITH m AS (SELECT DISTINCT g.group_id, u.id FROM dup_groups g, unnest(g.members)
            UNION ALL SELECT group_id, 'date_taken', id, r FROM j WHERE k >= 2 AND date_taken > 0
            UNION ALL SELECT group_id, 'camera_model', id, r FROM j WHERE k >= 2 AND trim(camera_model) <> '')
 SELECT group_id, field_name, arg_min(id, r) AS media_id FROM f GROUP BY ALL
+""",
+    # every combination of two bundles' candidates and of none; pairs of bundles without dependency between them are chosen apart
+    "p6_bundles": """
+WITH m AS (SELECT DISTINCT g.group_id, u.id FROM dup_groups g, unnest(g.members) u(id) WHERE u.id IS NOT NULL),
+     p AS (SELECT DISTINCT * EXCLUDE (indexed_at) FROM media WHERE NOT missing),
+     k AS (SELECT m.group_id, p.*, count(*) OVER (PARTITION BY m.group_id) AS k,
+                  row_number() OVER (PARTITION BY m.group_id ORDER BY -coalesce(CAST(width AS BIGINT) * height, 0), -size, mtime, strlen(path), path, p.id) AS pr,
+                  (camera_make IS NOT NULL)::INT + (lens IS NOT NULL)::INT + (iso IS NOT NULL)::INT AS n_cam FROM m JOIN p ON p.id = m.id),
+     j AS (SELECT * FROM k WHERE k >= 2),
+     g AS (SELECT DISTINCT group_id FROM j),
+     c1 AS (SELECT group_id, width AS w, height AS h, min({'a': pr, 'id': id}) AS b FROM j WHERE content_hash IS NOT NULL GROUP BY ALL),
+     c2 AS (SELECT group_id, width AS w, height AS h, min({'a': pr, 'id': id}) AS b FROM j WHERE width IS NOT NULL AND height IS NOT NULL GROUP BY ALL),
+     c3 AS (SELECT group_id, date_taken AS d, min({'a': -n_cam, 'p': pr, 'id': id}) AS b FROM j WHERE trim(camera_model) <> '' GROUP BY ALL),
+     c4 AS (SELECT group_id, date_taken AS d, min({'a': mtime, 'id': id}) AS b FROM j WHERE date_taken > 0 GROUP BY ALL),
+     r1 AS (SELECT group_id, w, h, b.id AS id, row_number() OVER (PARTITION BY group_id ORDER BY b) - 1 AS r FROM c1 UNION ALL SELECT group_id, NULL, NULL, NULL, 8 FROM g),
+     r2 AS (SELECT group_id, w, h, b.id AS id, row_number() OVER (PARTITION BY group_id ORDER BY b) - 1 AS r FROM c2 UNION ALL SELECT group_id, NULL, NULL, NULL, 8 FROM g),
+     r3 AS (SELECT group_id, d, b.id AS id, row_number() OVER (PARTITION BY group_id ORDER BY b) - 1 AS r FROM c3 UNION ALL SELECT group_id, NULL, NULL, 8 FROM g),
+     r4 AS (SELECT group_id, d, b.id AS id, row_number() OVER (PARTITION BY group_id ORDER BY b) - 1 AS r FROM c4 UNION ALL SELECT group_id, NULL, NULL, 8 FROM g),
+     x AS (SELECT a.group_id, a.id AS i1, b.id AS i2 FROM r1 a JOIN r2 b ON a.group_id = b.group_id AND NOT coalesce(a.w <> b.w, false) AND NOT coalesce(a.h <> b.h, false)
+           QUALIFY row_number() OVER (PARTITION BY a.group_id ORDER BY 4 * a.r + 3 * b.r, a.r, b.r) = 1),
+     y AS (SELECT a.group_id, a.id AS i3, b.id AS i4 FROM r3 a JOIN r4 b ON a.group_id = b.group_id AND NOT coalesce(a.d <> b.d, false)
+           QUALIFY row_number() OVER (PARTITION BY a.group_id ORDER BY 2 * a.r + 2 * b.r, a.r, b.r) = 1),
+     f AS (SELECT group_id, 'identity' AS field_name, i1 AS media_id FROM x UNION ALL SELECT group_id, 'picture', i2 FROM x UNION ALL SELECT group_id, 'camera', i3 FROM y UNION ALL SELECT group_id, 'time', i4 FROM y
+           UNION ALL SELECT group_id, 'place', arg_min(id, (-mtime, id)) FROM j WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY group_id)
+SELECT * FROM f WHERE media_id IS NOT NULL
 """,
     "p7_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),

@@ -83,6 +83,11 @@ def analysis_worklist(media: DataFrame) -> DataFrame:
     return media.where(~F.col("missing") & (F.col("phash").isNull() | F.col("dom_color").isNull()) & m.is_decodable_ext()).select("id", "path")
 
 
+def tag_worklist(media: DataFrame, tagged: DataFrame) -> DataFrame:
+    """Rows of `tagged(id)` without digest: what a rating, flag or kind is kept under must be known before it can be set."""
+    return media.where(F.col("content_hash").isNull() & ~F.col("missing")).join(tagged.select("id").distinct(), "id", "left_semi").select("id", "path")
+
+
 def point_lookup(user_meta: DataFrame, content_hash: str) -> DataFrame:
     """Rating and hidden flag of one content, defaults where nothing is known."""
     u = user_meta.where(F.col("content_hash") == content_hash)
@@ -112,10 +117,13 @@ def classify_changes(listing: DataFrame, media: DataFrame, meta_version: int = M
     return j.select("path", "id", change.alias("change"))
 
 
-def index_outcome(changes: DataFrame) -> DataFrame:
-    """Counters of an index run; `missing` counts all rows gone, also from before."""
+def index_outcome(changes: DataFrame, **done: DataFrame) -> DataFrame:
+    """Counters of an index run, one row: scanned, updated, unchanged, missing (all rows gone, also from before), and the rows of each frame in `done` (hashed, analysed, thumbnails, errors)."""
     n = lambda *kinds: F.count(F.when(F.col("change").isin(*kinds), 1))
-    return changes.agg(n("new", "changed", "stale", "unchanged").alias("scanned"), n("new", "changed", "stale").alias("updated"), n("unchanged").alias("unchanged"), n("vanished", "gone").alias("missing"))
+    out = changes.agg(n("new", "changed", "stale", "unchanged").alias("scanned"), n("new", "changed", "stale").alias("updated"), n("unchanged").alias("unchanged"), n("vanished", "gone").alias("missing"))
+    for name, rows in done.items():
+        out = out.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias(name))))  # one row each
+    return out
 
 
 def upsert(media: DataFrame, rows: DataFrame) -> DataFrame:

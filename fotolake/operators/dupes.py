@@ -92,6 +92,14 @@ def burst_members(rows: DataFrame, window_s: int = 2, by_kind: bool = False) ->
     return _not_all_same(out).withColumn("dup_kind", F.lit(BURST)).select(*_member_cols(rows))
 
 
+def member_order(members: DataFrame) -> DataFrame:
+    """Members with their `place` in the group, by path; ranked over all tasks, so no group is one."""
+    from fotolake.operators.ordering import group_rank
+
+    keys = ["dup_kind", "scope", "group_key"]
+    return group_rank(members.select(*keys, "id", "path"), keys, [m.path_order()], "place")
+
+
 def with_keeper(members: DataFrame) -> DataFrame:
     """Add `is_keeper` and `keeper_id`. The least key is aggregated map-side; no group is sorted."""
     keys = ["dup_kind", "scope", "group_key"]

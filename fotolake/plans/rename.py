@@ -52,6 +52,24 @@ def display(planned: DataFrame) -> DataFrame:
     return planned.select(m.file_name("src").alias("name"), "rel_target", "status")
 
 
+def labelled(planned: DataFrame) -> DataFrame:
+    """The plan with a word for each status, and the reason of an error."""
+    text = F.when(F.col("status") == ERROR, F.concat(F.lit("error: "), "detail")).otherwise(F.col("status"))
+    return planned.select("src", "rel_target", text.alias("label"))
+
+
+def undo_order(moves: DataFrame) -> DataFrame:
+    """Moves back, last first: of `moves(seq, src, dst)` step, src (where the file is now), dst (where it was)."""
+    return global_rank(moves, [F.col("seq").desc()], "step").select("step", F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def emptied_folders(moves: DataFrame) -> DataFrame:
+    """Folders that may be empty once `moves(dst)` are undone, deepest first (then by name): step, folder."""
+    folder = F.expr("left(dst, char_length(dst) - char_length(substring_index(dst, '/', -1)) - 1)")
+    folders = moves.select(folder.alias("folder")).where("folder <> ''").distinct()
+    return global_rank(folders, [F.size(F.split("folder", "/")).desc(), F.col("folder")], "step").select("step", "folder")
+
+
 def remote_plan(files: DataFrame, template: str, *, append_ext: bool = True) -> DataFrame:
     """Plan for a flattened remote listing (see sources.remote); existing targets are not asked for."""
     return plan(files, template, append_ext=append_ext)

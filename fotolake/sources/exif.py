@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fotolake.functions.media import degrees_of, plausible_place
@@ -96,6 +96,12 @@ def read_tags(data: bytes) -> dict[str, object]:
         return {}
 
 
+def exif_time(text: str) -> Column:
+    """A tag's `YYYY:MM:DD HH:MM:SS` as a timestamp; anything else, and dates there are not, null."""
+    t = F.trim(F.col(text))
+    return F.when(t.rlike(r"^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$"), F.try_to_timestamp(t, F.lit("yyyy:MM:dd HH:mm:ss")))
+
+
 SCHEMA = "path string, camera_make string, camera_model string, lens string, iso string, width string, height string, taken string, lat_dms array<double>, lat_ref string, lon_dms array<double>, lon_ref string"
 
 
@@ -119,5 +125,4 @@ def read_exif(files: DataFrame) -> DataFrame:
     axis = lambda a: degrees_of(*[F.get(f"{a}_dms", F.lit(i)) for i in range(3)], F.coalesce(f"{a}_ref", F.lit("")))
     x = x.withColumn("_lat", axis("lat")).withColumn("_lon", axis("lon"))
     ok = F.col("_lat").isNotNull() & F.col("_lon").isNotNull() & plausible_place(F.col("_lat"), F.col("_lon"))
-    taken = F.when(F.trim("taken").rlike(r"^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$"), F.try_to_timestamp(F.trim("taken"), F.lit("yyyy:MM:dd HH:mm:ss")))
-    return x.select("path", taken.alias("date_taken"), "camera_make", "camera_model", "lens", "iso", "width", "height", F.when(ok, F.col("_lat")).alias("lat"), F.when(ok, F.col("_lon")).alias("lon"))
+    return x.select("path", exif_time("taken").alias("date_taken"), "camera_make", "camera_model", "lens", "iso", "width", "height", F.when(ok, F.col("_lat")).alias("lat"), F.when(ok, F.col("_lon")).alias("lon"))

@@ -5,8 +5,8 @@ inside any span the same ones are chosen, wherever it stands, so two documents t
 share a sampled phrase. Phrases found in two or more documents recur. The documents that hold them
 are spread over shards; each shard compiles an Aho-Corasick automaton of just its documents' phrases
 and streams its documents through it, which locates every occurrence. Around the occurrences all
-windows of the full length are compared across documents; what is covered by a window that stands in
-another document is shared.
+windows of the full length are compared across documents, by two independent 64-bit hashes; what is
+covered by a window that stands in another document is shared.
 """
 
 from __future__ import annotations
@@ -16,27 +16,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fotolake.runtime import HEAVY_PARTS, cut, maybe_in, skew_join
 
 MIN_CHARS = 300
 #: Characters of text aimed at per shard, and of a phrase's head that goes into an automaton (the rest is compared).
 SHARD_CHARS, HEAD_CHARS = 2_000_000, 32
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
-_POWERS = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Two independent bases of rolling hashes: phrases go by the first, windows by both (128 bits).
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_POWERS: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _POWERS["n"] < n:
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if _POWERS.get(base, (0,))[0] < n:
         m = max(n, 1 << 14)
+        up, down = (np.concatenate((np.ones(1, np.uint64), np.full(m, b, np.uint64))) for b in (base, pow(base, -1, 1 << 64)))
         with np.errstate(over="ignore"):
-            one = np.ones(1, np.uint64)
-            _POWERS["up"] = np.cumprod(np.concatenate((one, np.full(m, _BASE, np.uint64))), dtype=np.uint64)
-            _POWERS["down"] = np.cumprod(np.concatenate((one, np.full(m, _BASE_INV, np.uint64))), dtype=np.uint64)
-        _POWERS["n"] = m
-    return _POWERS["up"], _POWERS["down"]
+            _POWERS[base] = m, np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return _POWERS[base][1:]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,10 +48,10 @@ def code_points(text: str) -> np.ndarray:
 
 
 class Rolling:
-    """64-bit hashes of any windows of a text, equal for equal windows wherever they stand."""
+    """64-bit hashes of any windows of a text, equal for equal windows wherever they stand; `base` is odd."""
 
-    def __init__(self, points: np.ndarray):
-        up, self.down = _powers(len(points))
+    def __init__(self, points: np.ndarray, base: int = BASES[0]):
+        up, self.down = _powers(base, len(points))
         with np.errstate(over="ignore"):
             terms = _mix(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)]
             self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
@@ -139,7 +136,7 @@ def _locate(size: int, k: int):
         for head, whole in heads.items():
             auto.add_word(head, (len(head), tuple(whole)))
         auto.make_automaton()
-        out = {"doc_id": [], "runs": [], "hashes": []}
+        out = {"doc_id": [], "text": [], "runs": []}
         for doc, text in zip(pdf["doc_id"], pdf["text"]):
             hits = []
             for end, (n, whole) in auto.iter(text):
@@ -147,44 +144,83 @@ def _locate(size: int, k: int):
                 if text[p : p + k] in whole:
                     hits.append(p)
             if hits:
-                starts = _spread(np.array(hits, np.int64), size - k, 0, len(text) - size)
                 out["doc_id"].append(doc)
-                out["runs"].append(_as_runs(starts).tobytes())
-                out["hashes"].append(Rolling(code_points(text)).windows(size, starts).tobytes())
+                out["text"].append(text)
+                out["runs"].append(_as_runs(_spread(np.array(hits, np.int64), size - k, 0, len(text) - size)).tobytes())
         return pd.DataFrame({"shard": int(pdf["shard"].iloc[0]), **out})
 
     return run
 
 
-def _windows_by_doc(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(pdf: pd.DataFrame, size: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc, starts, both hashes) of the windows of each document."""
+    out = []
+    for doc, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"]):
+        starts, points = _from_runs(runs), code_points(text)
+        out.append((doc, starts, *[Rolling(points, base).windows(size, starts).view(np.int64) for base in BASES]))
+    return out
+
+
+def _windows_by_doc(docs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct windows of one shard, rising, and whether two or more of its documents have each."""
-    hs = [np.frombuffer(b, np.int64) for b in pdf["hashes"]]
-    if not hs:
-        return np.empty(0, np.int64), np.empty(0, bool)
-    h = np.concatenate(hs)
-    d = np.repeat(pdf["doc_id"].to_numpy(np.int64), [len(x) for x in hs])
-    by = np.lexsort((d, h))
-    h, d = h[by], d[by]
-    first = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
-    last = np.concatenate((first[1:], [len(h)])) - 1
-    return h[first], d[first] != d[last]
+    if not docs:
+        none = np.empty(0, np.int64)
+        return none, none, np.empty(0, bool)
+    h1, h2 = (np.concatenate([d[i] for d in docs]) for i in (2, 3))
+    doc = np.repeat(np.array([d[0] for d in docs], np.int64), [len(d[1]) for d in docs])
+    by = np.lexsort((doc, h2, h1))
+    h1, h2, doc = h1[by], h2[by], doc[by]
+    first = np.nonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))[0]
+    last = np.concatenate((first[1:], [len(h1)])) - 1
+    return h1[first], h2[first], doc[first] != doc[last]
+
+
+def _distinct_windows(size: int):
+    """The distinct windows of each shard. A shard's rows stand together in one partition, as they were written."""
+
+    def made(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        held = pd.concat(parts, ignore_index=True)
+        h1, h2, _ = _windows_by_doc(_hashed(held, size))
+        return pd.DataFrame({"shard": int(held["shard"].iloc[0]), "w1": h1, "w2": h2})
+
+    def run(batches):
+        parts: list[pd.DataFrame] = []
+        for pdf in batches:
+            for shard, rows in pdf.groupby("shard", sort=False):
+                if parts and parts[0]["shard"].iloc[0] != shard:
+                    yield made(parts)
+                    parts = []
+                parts.append(rows)
+        if parts:
+            yield made(parts)
 
+    return run
 
-def _distinct_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    h, several = _windows_by_doc(pdf)
-    return pd.DataFrame({"shard": int(pdf["shard"].iloc[0]), "window": h, "several": several})
+
+def among(h1: np.ndarray, h2: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    """Which pairs (h1, h2) are among the pairs (w1, w2)."""
+    by = np.lexsort((w2, w1))
+    w1, w2 = w1[by], w2[by]
+    found = np.zeros(len(h1), bool)
+    at = np.searchsorted(w1, h1)
+    todo = np.arange(len(h1))
+    while len(todo := todo[at[todo] < len(w1)]) and len(todo := todo[w1[at[todo]] == h1[todo]]):
+        found[todo] |= w2[at[todo]] == h2[todo]
+        at[todo] += 1  # another window may share the first half
+        todo = todo[~found[todo]]
+    return found
 
 
 def _cover(size: int):
     def run(key, held: pd.DataFrame, elsewhere: pd.DataFrame) -> pd.DataFrame:
-        h, several = _windows_by_doc(held)
-        good = np.concatenate((h[several], elsewhere["window"].to_numpy(np.int64) if len(elsewhere) else h[:0]))
-        good.sort()
+        docs = _hashed(held, size)
+        w1, w2, several = _windows_by_doc(docs)
+        w1, w2 = w1[several], w2[several]
+        if len(elsewhere):
+            w1, w2 = (np.concatenate((w, elsewhere[c].to_numpy(np.int64))) for w, c in ((w1, "w1"), (w2, "w2")))
         ids, chars = [], []
-        for doc, s, h in zip(held["doc_id"], held["runs"], held["hashes"]):
-            s, h = _from_runs(s), np.frombuffer(h, np.int64)
-            i = np.minimum(np.searchsorted(good, h), max(len(good) - 1, 0))
-            on = s[good[i] == h] if len(good) else s[:0]
+        for doc, starts, h1, h2 in docs:
+            on = starts[among(h1, h2, w1, w2)]
             if len(on):
                 # windows begin at rising places: each adds what the one before left open
                 ids.append(doc)
@@ -194,6 +230,24 @@ def _cover(size: int):
     return run
 
 
+def _elsewhere(windows: DataFrame) -> DataFrame:
+    """Windows held by two or more shards, for each shard that holds them: shard, w1, w2.
+
+    Aggregated per window with partial results, so a passage in all shards is one row, not one task.
+    Its first and last shard come with it; only windows of more shards need the rows again.
+    """
+    met = windows.groupBy("w1", "w2").agg(F.min("shard").alias("lo"), F.max("shard").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    met = cut(met)
+    ends = met.select(F.explode(F.array("lo", "hi")).alias("shard"), "w1", "w2")
+    window = F.struct("w1", "w2").alias("window")
+    more = cut(met.where("n > 2").select(window))
+    if more.isEmpty():
+        return ends
+    rows = cut(maybe_in(windows.select("shard", window), more, "window"))
+    rest = skew_join(rows, more, "window", "left_semi").select("shard", "window.w1", "window.w2")
+    return ends.unionByName(rest)
+
+
 def shared_spans(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     """Characters of each document that lie in a stretch of `min_chars` or more which another document also has: doc_id, shared_chars.
 
@@ -209,18 +263,18 @@ def shared_spans(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     counted = phrases.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
     recurring = cut(counted.where("lo < hi").select("phrase", "n"))
     least = max(1_000, (found.agg(F.sum(F.size("phrases"))).first()[0] or 0) // HEAVY_PARTS)
-    hits = skew_join(phrases, recurring.select("phrase"), "phrase", "left_semi", heavy=recurring.where(F.col("n") > least))
+    known = maybe_in(phrases, recurring.select("phrase"), "phrase")  # most phrases stand in one document only
+    hits = skew_join(known, recurring.select("phrase"), "phrase", "left_semi", heavy=recurring.where(F.col("n") > least))
     per_doc = cut(hits.groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases")))  # a document's own phrases: under 2 % of its length
     # texts without recurring phrases are sorted out before any text is shuffled
     texts = maybe_in(d, per_doc, "doc_id").join(per_doc, "doc_id").dropDuplicates(["doc_id"])
     total = maybe_in(d.select("doc_id", F.char_length("text").alias("_n")), per_doc, "doc_id").join(per_doc.select("doc_id"), "doc_id", "left_semi").agg(F.sum("_n")).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_CHARS))
     texts = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    located = cut(texts.groupBy("shard").applyInPandas(_locate(min_chars, k), "shard int, doc_id long, runs binary, hashes binary"))
+    located = cut(texts.groupBy("shard").applyInPandas(_locate(min_chars, k), "shard int, doc_id long, text string, runs binary"))
     # a window is one row per shard at most, however many documents have it. A document is in one
     # shard, so a window in two shards is in two documents; what a shard has twice it knows itself.
-    windows = located.groupBy("shard").applyInPandas(_distinct_windows, "shard int, window long, several boolean")
-    everywhere = Window.partitionBy("window")
-    shared = windows.withColumn("_n", F.count(F.lit(1)).over(everywhere)).where("_n > 1 and not several").select("shard", "window")
+    windows = located.mapInPandas(_distinct_windows(min_chars), "shard int, w1 long, w2 long")
+    shared = _elsewhere(windows)
     schema = "doc_id long, shared_chars long"
     return located.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(_cover(min_chars), schema)

@@ -74,3 +74,21 @@ def test_rolling_hash_and_sampling():
     at, _ = s.sampled(t, 30, 15)
     gaps = np.diff(np.concatenate(([-1], at, [len(t) - 14])))
     assert gaps.max() <= 16
+
+
+def test_windows_are_told_apart_by_both_hashes():
+    w1, w2 = np.array([5, 5, 7, 2, 5]), np.array([1, 3, 1, 9, 8])
+    h1, h2 = np.array([5, 5, 5, 7, 2, 8, 1, 5]), np.array([3, 2, 8, 1, 8, 1, 1, 1])
+    assert s.among(h1, h2, w1, w2).tolist() == [True, False, True, True, False, False, False, True]
+    assert not s.among(h1, h2, w1[:0], w2[:0]).any()
+    points = s.code_points("ab" * 300)
+    a, b = (s.Rolling(points, base).windows(20) for base in s.BASES)
+    assert len(np.unique(a)) == len(np.unique(b)) == 2 and not set(a.tolist()) & set(b.tolist())
+
+
+def test_a_passage_in_every_shard(spark, monkeypatch):
+    monkeypatch.setattr(s, "SHARD_CHARS", 500)
+    rng = random.Random(6)
+    hot = "".join(rng.choice("abcdefgh ") for _ in range(320))
+    docs = [(k, chr(0x4E00 + k) + hot + chr(0x4E00 + k), "") for k in range(60)]
+    assert run(spark, docs, 300) == dict.fromkeys(range(60), 320)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fotolake.runtime import cut, maybe_in, skew_join
+from fotolake.runtime import cut, filter_bits, maybe_in, skew_join
 
 WORD = re.compile(r"[^\W_]+")
 #: Words in a seed, and the exact run that makes a leak.
@@ -30,8 +30,11 @@ SEED_WORDS, RUN_WORDS = 5, 13
 #: The similarity from which edited copies are found, unless given.
 LEAST = 0.75
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: N-grams of items sent to the workers at most (about 100 bytes each there); beyond that documents' n-grams are joined by shuffle.
+#: N-grams of items sent to the workers at most (about 100 bytes each there); beyond that a filter of MOST_BITS bits at most
+#: tells which n-grams of a document may be an item's, and those are joined by shuffle.
 BROADCAST_GRAMS = 200_000
+#: Items judged against one copy of a document's text.
+ITEMS_PER_TEXT = 1_000
 
 
 def words(text: str | None) -> list[str]:
@@ -126,21 +129,40 @@ def _count(docs: DataFrame, phrases: list[str]) -> DataFrame:
     return _readable(docs).mapInPandas(run, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
 
 
+def _gram_filter(grams: DataFrame) -> bytes:
+    """A bitmap over the n-grams of the items, sized by their number and at most MOST_BITS (16 MB); each n-gram sets one bit."""
+    bits = filter_bits(grams.count())
+    spot = grams.select(F.pmod("gram", F.lit(bits)).alias("s"))
+    words_set = spot.groupBy(F.expr("s div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("v")).toArrow()  # bounded by the bitmap
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words_set["at"].to_numpy()] = words_set["v"].to_numpy()
+    return bitmap.tobytes()
+
+
 def _scan_all(docs: DataFrame, grams: DataFrame, n: int) -> DataFrame:
-    """(gram, doc_id) for the grams in each document, by shuffle, for item sets too large to broadcast."""
+    """(gram, doc_id) for the items' n-grams in each document, by shuffle, for item sets too large to broadcast.
+
+    What the filter rules out never leaves the task that reads the text: about one in twelve other n-grams does.
+    """
+    wanted = cut(grams.select("gram").distinct())
+    held = docs.sparkSession.sparkContext.broadcast(_gram_filter(wanted))
+    sizes = sorted({r[0] for r in grams.select(F.size(F.split("phrase", " "))).distinct().collect()})  # 1 to n
 
     def run(batches):
+        bits = np.frombuffer(held.value, np.uint8)
         for pdf in batches:
             gs, ds = [], []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ws = WORD.findall(text.lower())
-                got = {gram_hash(ws[i : i + k]) for k in range(1, n + 1) for i in range(len(ws) - k + 1)}
-                gs += got
-                ds += [doc] * len(got)
-            yield pd.DataFrame({"gram": np.array(gs, np.int64), "doc_id": np.array(ds, np.int64)})
+                ws = words(text)
+                every = np.unique(np.fromiter((gram_hash(ws[i : i + k]) for k in sizes for i in range(len(ws) - k + 1)), np.int64))
+                spot = every % (8 * len(bits))
+                may = every[(bits[spot // 8] >> (spot % 8).astype(np.uint8)) & 1 > 0]
+                gs.append(may)
+                ds.append(np.full(len(may), doc, np.int64))
+            yield pd.DataFrame({"gram": np.concatenate(gs) if gs else np.empty(0, np.int64), "doc_id": np.concatenate(ds) if ds else np.empty(0, np.int64)})
 
     every = _readable(docs).mapInPandas(run, "gram long, doc_id long")
-    return skew_join(cut(every), grams.select("gram").distinct(), "gram", "left_semi")
+    return skew_join(cut(every), wanted, "gram", "left_semi")
 
 
 def seeds(grams: DataFrame, frequency: DataFrame, n: int, run: int) -> DataFrame:
@@ -246,7 +268,7 @@ def leaked_items(items: DataFrame, docs: DataFrame, *, n: int = SEED_WORDS, run:
         return (list(ids), doc, len(item.words), got[1], got[0], got[0] / (MATCH * len(item.words)))
 
     if grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
-        frequency = _count(docs, [r.phrase for r in grams.select("phrase").distinct().limit(BROADCAST_GRAMS).collect()])
+        frequency = _count(docs, [r.phrase for r in grams.select("phrase").distinct().collect()])
         chosen = seeds(grams, frequency, n, run).join(phrase_of, ["cls", "kind", "gram"])
         # no more than the n-grams counted above
         at: dict[str, list[tuple[int, bool]]] = {}
@@ -277,21 +299,26 @@ def leaked_items(items: DataFrame, docs: DataFrame, *, n: int = SEED_WORDS, run:
         found = cut(_scan_all(docs, grams, n).distinct())
         frequency = found.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
         chosen = cut(seeds(grams, frequency, n, run))
-        by_gram = chosen.groupBy("gram").agg(F.collect_set(F.struct("cls", (F.col("kind") == "run").alias("is_run"))).alias("items"))
-        cand = skew_join(found, by_gram, "gram").select("doc_id", F.explode("items").alias("i")).groupBy("doc_id", "i.cls").agg(F.max("i.is_run").alias("is_run"))
-        packed = cut(cand.groupBy("doc_id").agg(F.collect_list(F.struct("cls", "is_run")).alias("classes")))  # at most the distinct items, per document
-        texts = maybe_in(_readable(docs), packed, "doc_id").join(packed, "doc_id")
-        pairs = texts.select("doc_id", "text", F.inline("classes"))
+        by_gram = cut(chosen.groupBy("gram").agg(F.collect_set(F.struct("cls", (F.col("kind") == "run").alias("is_run"))).alias("items")))
+        cand = skew_join(found, by_gram, "gram").select("doc_id", F.explode("items").alias("i")).groupBy("doc_id", F.col("i.cls").alias("cls")).agg(F.max("i.is_run").alias("is_run"))
+        cand = cut(cand)
+        # an item may be in a third of all documents: ids meet items, and each text moves once for every ITEMS_PER_TEXT items it may hold
         small = chosen.join(phrase_of, ["cls", "kind", "gram"]).groupBy("cls").agg(F.collect_set("phrase").alias("seeds"))
-        ready = pairs.join(classes.select("cls", "words", "item_ids"), "cls").join(small, "cls")
+        item = cut(classes.select("cls", "words", "item_ids").join(small, "cls"))
+        parts = cand.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(ITEMS_PER_TEXT)).alias("_parts"))
+        placed = skew_join(cand, item, "cls").join(parts, "doc_id").withColumn("_part", F.pmod(F.xxhash64("cls"), F.col("_parts")))
+        packed = cut(placed.groupBy("doc_id", "_part").agg(F.collect_list(F.struct("words", "item_ids", "seeds", "is_run")).alias("items")))
+        ready = maybe_in(_readable(docs), cut(packed.select("doc_id").distinct()), "doc_id").join(packed, "doc_id").select("doc_id", "text", "items")
 
         def judge_pairs(batches):
             for pdf in batches:
                 rows = []
-                for doc, text, is_run, item, sd, ids in zip(pdf["doc_id"], pdf["text"], pdf["is_run"], pdf["words"], pdf["seeds"], pdf["item_ids"]):
-                    it = Item(item, set(sd), n, least)
-                    if got := it.judge(words(text), bool(is_run)):
-                        rows.append(row(ids, doc, it, got))
+                for doc, text, items in zip(pdf["doc_id"], pdf["text"], pdf["items"]):
+                    dw = words(text)
+                    for i in items:
+                        it = Item(i["words"], set(i["seeds"]), n, least)
+                        if got := it.judge(dw, bool(i["is_run"])):
+                            rows.append(row(i["item_ids"], doc, it, got))
                 yield pd.DataFrame(rows, columns=columns)
 
         judged = ready.mapInPandas(judge_pairs, schema)

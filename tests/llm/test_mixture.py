@@ -67,3 +67,30 @@ def test_token_counts(spark):
     d, _ = frames(spark, [(1, "Hello world", "x", "", ""), (2, None, "x", "", ""), (3, "<|endoftext|>", "x", "", ""), (None, "x", "x", "", "")])
     got = {r.doc_id: r.tokens for r in m.token_counts(d).collect()}
     assert got[1] == 2 and got[2] == 0 and got[3] > 1 and len(got) == 3
+
+
+def test_schedules_with_knots(spark):
+    d, t = frames(spark, corpus())
+    knots = [("A", 0.0, 3.0), ("a", 0.5, 3.0), ("a", 0.5, 1.0), (" b", 0.25, 0.0), ("b", 0.75, 2.0), ("c", 0.8, 0.0), ("c", 1.0, 5.0), ("c", 2.0, 9.0), ("c", None, 9.0), ("zzz", 0.1, 1.0), (None, 0.1, 1.0)]
+    sched = spark.createDataFrame(knots, "source string, at double, weight double")
+    plan = {r.source: r for r in m.curriculum(m.targets_of(t), sched).collect()}
+    for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
+        last = plan[s].pieces[-1]
+        assert abs(last.y0 + (last.t1 - last.t0) * (last.w0 + last.w1) / 2 - share) < 1e-12
+    assert [(p.t0, p.t1) for p in plan["b"].pieces] == [(0, 0.25), (0.25, 0.75), (0.75, 1)]
+    rows = m.mixture(d, t, schedule=sched).collect()
+    pos = [r.position for r in rows]
+    assert pos == sorted(pos) and 0 <= pos[0] and pos[-1] <= 1
+    by = {s: [r for r in rows if r.source == s] for s in "abc"}
+    # b has no weight before 0.25, c none before 0.8; a runs evenly
+    assert min(r.position for r in by["b"]) >= 0.25 and min(r.position for r in by["c"]) >= 0.8
+    total = sum(r.tokens for r in by["a"])
+    for q in (0.2, 0.5, 0.9):
+        assert abs(sum(r.tokens for r in by["a"] if r.position < q) / total - q) < 0.03
+    # the weight of b rises to 0.75: (0.5 x 2 / 2) of (0.5 + 0.25 x 2) stands before
+    total = sum(r.tokens for r in by["b"])
+    assert abs(sum(r.tokens for r in by["b"] if r.position < 0.75) / total - 0.5) < 0.03
+    got = {r.source: r for r in m.shares(m.mixture(d, t, schedule=sched), t).collect()}
+    assert all(abs(r.actual_share - r.target_share) < 0.02 for r in got.values())
+    even = m.mixture(d, t, schedule=sched.where("false")).where("source = 'c'").collect()
+    assert abs(sum(r.tokens for r in even if r.position < 0.5) / sum(r.tokens for r in even) - 0.5) < 0.05

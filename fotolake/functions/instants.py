@@ -28,6 +28,7 @@ _US = timedelta(microseconds=1)
 
 #: Names of the formats, which the path search compares.
 FORMATS = ("epoch_s", "epoch_ms", "epoch_us", "compact", "iso", "exif", "slashed_ymd", "slashed_mdy", "slashed_dmy", "dotted_dmy", "dotted_mdy", "day_month", "month_day")
+_NUMBER_OF = {name: k for k, name in enumerate(FORMATS)}
 
 
 @lru_cache(maxsize=65_536)
@@ -66,6 +67,10 @@ def _instants(wall: datetime, off: str | None, zone_name: str | None) -> list[in
         return [local - zone * 1_000_000]
     out: list[int] = []
     try:
+        # both folds agree except where clocks change, where the offsets before and after differ
+        early = zone.utcoffset(wall)
+        if early == zone.utcoffset(wall.replace(fold=1)):
+            return [local - early // _US]
         for fold in (0, 1):
             shift = wall.replace(tzinfo=zone, fold=fold).utcoffset()
             utc = wall - shift
@@ -139,6 +144,6 @@ def interpretations(text: str | None, zone_name: str | None, conventions: frozen
     for name, y, mo, d, g in _dates(t, conventions):
         wall = _wall(y, mo, d, g)
         if wall is not None:
-            k = FORMATS.index(name)
+            k = _NUMBER_OF[name]
             out += [(k, us) for us in _instants(wall, g["off"], zone)]
     return out

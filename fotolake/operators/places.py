@@ -13,13 +13,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fotolake.runtime import cut
+from fotolake.runtime import cut, skew_join
 
 EARTH_M = 6_371_008.8
 #: Places aimed at per cell; the number of pivots follows from it.
 CELL_PLACES = 1_500
-#: Pivots at most: 3 doubles each, so what is broadcast stays under 1 MB.
-MAX_PIVOTS = 32_768
+#: Pivots at most: 3 doubles each, so what goes to the workers stays under 7 MB. Beyond 393 million spots cells grow, and
+#: results stay the same.
+MAX_PIVOTS = 262_144
+#: Corners of all regions together that go to the workers at once (16 MB).
+MAX_CORNERS = 1_000_000
 #: Metres added to the triangle-inequality bounds for rounding; results are judged by the exact distance.
 SLACK_M = 1.0
 LEAF = 24
@@ -97,15 +100,15 @@ def ring_contains(ring_lat: np.ndarray, ring_lon: np.ndarray, lat: np.ndarray, l
     """
     inside = np.zeros(len(lat), bool)
     wrap = lambda x: (x + 180.0) % 360.0 - 180.0
-    n = len(ring_lat)
-    for i in range(n):
-        j = (i + 1) % n
-        span = wrap(ring_lon[j] - ring_lon[i])
-        if span == 0:
-            continue
-        t = wrap(lon - ring_lon[i])
-        over = (t >= 0) & (t < span) if span > 0 else (t < 0) & (t >= span)
-        inside ^= over & (ring_lat[i] + (ring_lat[j] - ring_lat[i]) * (t / span) > lat)
+    span = wrap(np.roll(ring_lon, -1) - ring_lon)
+    side = np.nonzero(span != 0)[0]
+    lat0, lon0, rise, span = ring_lat[side], ring_lon[side], (np.roll(ring_lat, -1) - ring_lat)[side], span[side]
+    step = max(1, 1_000_000 // max(1, len(side)))  # points against all sides at once, in blocks
+    for s in range(0, len(lat), step):
+        t = wrap(lon[s : s + step, None] - lon0[None])
+        over = np.where(span > 0, (t >= 0) & (t < span), (t < 0) & (t >= span))
+        above = lat0 + rise * (t / span) > lat[s : s + step, None]
+        inside[s : s + step] = (over & above).sum(axis=1) % 2 == 1
     return inside
 
 
@@ -144,37 +147,74 @@ def regions_with_circle(regions: DataFrame) -> DataFrame:
 def _pivots(spots: DataFrame, n: int) -> np.ndarray:
     """A bounded sample of the spots: those with the smallest hashes. Only the sample comes to the driver."""
     k = int(min(MAX_PIVOTS, max(1, -(-n // CELL_PLACES))))
-    got = spots.select("lat", "lon").orderBy(F.xxhash64("lat", "lon"), "lat", "lon").limit(k).collect()
-    return unit(np.array([r.lat for r in got], float), np.array([r.lon for r in got], float))
+    # hashes are even, so about twice the sample lies below this bound; only those are sorted
+    bound = min(2 * k + 1_000, n) / n
+    h = F.xxhash64("lat", "lon")
+    low = spots.select("lat", "lon", h.alias("h")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + bound * (1 << 64)))))
+    got = low.orderBy("h", "lat", "lon").limit(k).select("lat", "lon").toArrow()
+    if not got.num_rows:  # a few spots, all of high hashes
+        got = spots.select("lat", "lon").orderBy(h, "lat", "lon").limit(k).toArrow()
+    return unit(got["lat"].to_numpy(), got["lon"].to_numpy())
+
+
+class Cells:
+    """The cells of places around pivots, through a tree of two levels: pivots around some of them.
+
+    A pivot group is looked into only where the triangle inequality allows a pivot nearer than the
+    best known, so a place costs about as many distances as the square root of the pivots, not all.
+    """
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        tops = np.arange(0, len(pivots), max(1, int(len(pivots) ** 0.5)))
+        self.tops = pivots[tops]
+        group = np.concatenate([arc_m(pivots[s : s + 4_096] @ self.tops.T).argmin(axis=1) for s in range(0, len(pivots), 4_096)])
+        self.members = [np.nonzero(group == g)[0] for g in range(len(tops))]
+        self.reach = np.array([arc_m(pivots[m] @ self.tops[g]).max() if len(m) else -np.inf for g, m in enumerate(self.members)])
+
+    def near(self, xyz: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, pivot, home of the row) of all pivots a place may have to visit: at most 2 x reach beyond its nearest, the home."""
+        top = arc_m(xyz @ self.tops.T)
+        most = top.min(axis=1) + 2 * (reach + SLACK_M)
+        rows, cells, arcs = [], [], []
+        for g, m in enumerate(self.members):
+            r = np.nonzero(top[:, g] - self.reach[g] - SLACK_M <= most)[0] if len(m) else np.empty(0, np.intp)
+            if len(r):
+                d = arc_m(xyz[r] @ self.pivots[m].T)
+                i, j = np.nonzero(d <= most[r, None])
+                rows.append(r[i]), cells.append(m[j]), arcs.append(d[i, j])
+        row, cell, arc = np.concatenate(rows), np.concatenate(cells), np.concatenate(arcs)
+        by = np.lexsort((cell, arc, row))
+        row, cell, arc = row[by], cell[by], arc[by]
+        first = np.concatenate(([True], row[1:] != row[:-1]))  # every place has a home: that of its nearest top at least
+        nearest = np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
+        keep = arc <= arc[nearest] + 2 * (reach[row] + SLACK_M)
+        return row[keep], cell[keep], cell[nearest][keep]
 
 
 def _assign(pivots: np.ndarray):
     """Batches of (lat, lon, reach, ...) to the same rows with their home cell and every cell they must visit."""
 
     def run(batches):
-        step = max(1, 2_000_000 // max(1, len(pivots)))
+        cells = Cells(pivots)
+        step = max(1, 2_000_000 // max(1, len(cells.tops)))
         for pdf in batches:
-            xyz = unit(pdf.lat.to_numpy(), pdf.lon.to_numpy())
-            reach = pdf.reach.to_numpy()
-            everywhere = pdf.everywhere.to_numpy()
             for s in range(0, len(pdf), step):
-                d = arc_m(xyz[s : s + step] @ pivots.T)
-                home = d.argmin(axis=1)
-                near = d <= (d[np.arange(len(d)), home] + 2 * (reach[s : s + step] + SLACK_M))[:, None]
+                part = pdf.iloc[s : s + step]
+                row, cell, home = cells.near(unit(part.lat.to_numpy(), part.lon.to_numpy()), part.reach.to_numpy())
                 # pairs of spots are met in the lower of their two cells; a region goes to every cell it may touch
-                near &= everywhere[s : s + step, None] | (np.arange(len(pivots))[None, :] <= home[:, None])
-                row, cell = np.nonzero(near)
-                out = pdf.iloc[s + row]
-                yield out.assign(cell=cell.astype(np.int64), native=cell == home[row])
+                keep = part.everywhere.to_numpy()[row] | (cell <= home)
+                row, cell, home = row[keep], cell[keep], home[keep]
+                yield part.iloc[row].assign(cell=cell.astype(np.int64), native=cell == home)
 
     return run
 
 
-def _search(radius_m: float):
-    """One cell: pairs of spots within the radius, and the regions around the native spots."""
+def _search(radius_m: float, rings: dict[int, tuple] | None):
+    """One cell: pairs of spots within the radius, and the regions around the native spots. `rings` holds the rings that do not travel with their rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        spot = pdf[pdf.ring_lat.isna()]
+        spot = pdf[~pdf.everywhere]
         own = spot[spot.native]
         parts = []
         if len(own):
@@ -184,9 +224,10 @@ def _search(radius_m: float):
             a, b, nat = spot.id.to_numpy()[q], ids[p], spot.native.to_numpy()[q]
             keep = ~nat | (a < b)
             parts.append(pd.DataFrame({"relation": "near", "spot_a": a[keep], "spot_b": b[keep]}))
-            for r in pdf[~pdf.ring_lat.isna()].itertuples():
+            for r in pdf[pdf.everywhere].itertuples():
                 _, p = tree.within(np.array([r.lat]), np.array([r.lon]), np.array([r.reach]))
-                p = p[ring_contains(np.asarray(r.ring_lat, float), np.asarray(r.ring_lon, float), lat[p], lon[p])]
+                ring = (np.asarray(r.ring_lat, float), np.asarray(r.ring_lon, float)) if rings is None else rings[r.ring]
+                p = p[ring_contains(*ring, lat[p], lon[p])]
                 parts.append(pd.DataFrame({"relation": "inside", "spot_a": ids[p], "spot_b": r.id}))
         return pd.concat(parts) if parts else pd.DataFrame({"relation": [], "spot_a": [], "spot_b": []})
 
@@ -201,13 +242,19 @@ def spot_relations(spots: DataFrame, regions: DataFrame | None, radius_m: float)
     if not n:
         return spark.createDataFrame([], schema)
     pivots = _pivots(spots, n)
-    kept = "id long, lat double, lon double, reach double, ring_lat array<double>, ring_lon array<double>"
+    kept = "id long, lat double, lon double, reach double, ring long, ring_lat array<double>, ring_lon array<double>, everywhere boolean"
     none = F.lit(None).cast("array<double>")
-    rows = spots.select("id", "lat", "lon", F.lit(float(radius_m)).alias("reach"), none.alias("ring_lat"), none.alias("ring_lon"), F.lit(False).alias("everywhere"))
+    rows = spots.select("id", "lat", "lon", F.lit(float(radius_m)).alias("reach"), F.lit(None).cast("long").alias("ring"), none.alias("ring_lat"), none.alias("ring_lon"), F.lit(False).alias("everywhere"))
+    rings = None
     if regions is not None:
-        rows = rows.unionByName(regions_with_circle(regions).withColumn("everywhere", F.lit(True)))
-    cells = rows.mapInPandas(_assign(pivots), kept + ", everywhere boolean, cell long, native boolean")
-    return cells.groupBy("cell").applyInPandas(_search(radius_m), schema)
+        # a region goes to many cells: up to a bounded number of corners its ring goes to the workers once, beyond it with each row
+        r = cut(regions_with_circle(regions).withColumn("ring", F.monotonically_increasing_id()))
+        if (r.agg(F.sum(F.size("ring_lat"))).first()[0] or 0) <= MAX_CORNERS:
+            rings = {x.ring: (np.asarray(x.ring_lat, float), np.asarray(x.ring_lon, float)) for x in r.select("ring", "ring_lat", "ring_lon").collect()}
+            r = r.withColumn("ring_lat", none).withColumn("ring_lon", none)
+        rows = rows.unionByName(r.withColumn("everywhere", F.lit(True)))
+    cells = rows.mapInPandas(_assign(pivots), kept + ", cell long, native boolean")
+    return cells.groupBy("cell").applyInPandas(_search(radius_m, rings), schema)
 
 
 def near_and_inside(rows: DataFrame, regions: DataFrame | None = None, *, radius_m: float = 50.0, expand: bool = True) -> DataFrame:
@@ -221,10 +268,10 @@ def near_and_inside(rows: DataFrame, regions: DataFrame | None = None, *, radius
     """
     pts = cut(places(rows))
     spots = pts.groupBy("lat", "lon").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    # two spots never share a name unless one id has two places: the coordinates then decide
-    spots = cut(spots.withColumn("spot", F.xxhash64("lat", "lon")))
+    spots = cut(spots.withColumn("spot", F.monotonically_increasing_id()))  # numbered once: written and read again
     rel = cut(spot_relations(spots.select(F.col("spot").alias("id"), "lat", "lon"), regions, radius_m))
-    member = pts.select("id", F.xxhash64("lat", "lon").alias("spot"))
+    at = F.struct("lat", "lon").alias("_at")
+    member = cut(skew_join(pts.select("id", at), spots.select(at, "spot"), "_at").select("id", "spot"))
     if not expand:
         name = spots.select("spot", "id")
         near = rel.where("relation = 'near'").join(name.withColumnsRenamed({"spot": "spot_a", "id": "a"}), "spot_a").join(name.withColumnsRenamed({"spot": "spot_b", "id": "b"}), "spot_b")

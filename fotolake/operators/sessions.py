@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from fotolake.runtime import cut
 
 DAY = 86_400
+#: Cameras with a rule of their own that go to all workers at once at most; beyond it the planner joins by shuffle.
+MAX_RULES = 100_000
 
 
 def camera_key(col: str | Column) -> Column:
@@ -34,9 +36,11 @@ def with_window(nodes: DataFrame, config: DataFrame | None, default_window: int)
     if config is None:
         return nodes.withColumn("w", F.lit(default_window).cast("long"))
     rules = config.select(camera_key("camera_model").alias("camera"), F.col("burst_window_secs").cast("long").alias("w"), "profile")
-    rules = rules.where("w is not null").groupBy("camera").agg(F.min_by("w", "profile").alias("w"))
+    rules = cut(rules.where("w is not null").groupBy("camera").agg(F.min_by("w", "profile").alias("w")))
     fallback = rules.where("camera is null").agg(F.coalesce(F.max("w"), F.lit(default_window).cast("long")).alias("_d"))
     named = rules.where("camera is not null")
+    if named.limit(MAX_RULES + 1).count() <= MAX_RULES:
+        named = F.broadcast(named)  # a hot camera's rows then stay where they are
     out = nodes.join(named, "camera", "left").crossJoin(F.broadcast(fallback))  # one row: an aggregate without keys
     return out.withColumn("w", F.greatest(F.coalesce("w", "_d"), F.lit(0))).drop("_d")
 

@@ -9,6 +9,7 @@ numbers per partition - from which the border states are settled before each par
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from fotolake.runtime import cut, slots
 
 #: Costs of a change of format, of time running backwards, and of each later reading in the listed order.
 SWITCH, BACKWARD, LATER = 1.0, 2.0, 0.01
+#: Values per task aimed at.
+TASK_VALUES = 250_000
 
 Value = tuple[list[int], list[int]]  # formats, instants
 
@@ -67,21 +70,39 @@ def choose(values: list[Value], start: int | None = None, stop: int | None = Non
     return out
 
 
+class Border:
+    """A run as its neighbours see it: first and last value, and the least cost from each reading of the first to each of the last, up to a constant.
+
+    Values are added one by one and not kept. From the first value with one reading on, all first
+    readings go on alike, so one row of costs is carried, begun anew at each further such value.
+    """
+
+    def __init__(self, key: tuple, value: Value):
+        self.key, self.first, self.last = key, value, value
+        n = len(value[0])
+        self.rows = [[0.0 if k == i else float("inf") for k in range(n)] for i in range(n)]
+        self.head: list[float] | None = [0.0] if n == 1 else None  # cost of reaching the first anchor
+
+    def add(self, value: Value) -> None:
+        if self.head is not None and len(value[0]) == 1:
+            self.rows = [[0.0]]
+        else:
+            self.rows = [_step(r, self.last, value)[0] for r in self.rows]
+            if self.head is None and len(value[0]) == 1:
+                self.head, self.rows = [r[0] for r in self.rows], [[0.0]]
+        self.last = value
+
+    @property
+    def costs(self) -> list[list[float]]:
+        return self.rows if self.head is None else [[h + c for c in self.rows[0]] for h in self.head]
+
+
 def summary(values: list[Value]) -> list[list[float]]:
-    """Least cost from each reading of a run's first value to each of its last, up to a constant."""
-    rows = []
-    n = len(values)
-    anchors = [i for i, v in enumerate(values) if len(v[0]) == 1]
-    head = values[: anchors[0] + 1] if anchors else values
-    tail = values[anchors[-1] :] if anchors else []
-    for i in range(len(values[0][0])):
-        costs = [0.0 if k == i else float("inf") for k in range(len(values[0][0]))]
-        for prev, cur in zip(head, head[1:]):
-            costs, _ = _step(costs, prev, cur)
-        for prev, cur in zip(tail, tail[1:]):
-            costs, _ = _step(costs, prev, cur)
-        rows.append(costs)
-    return rows if n > 1 else [[0.0 if k == i else float("inf") for k in range(len(values[0][0]))] for i in range(len(values[0][0]))]
+    """The costs of `Border` over a list."""
+    border = Border((), values[0])
+    for v in values[1:]:
+        border.add(v)
+    return border.costs
 
 
 def settle(runs: list[dict]) -> dict[tuple, tuple[int, int]]:
@@ -115,9 +136,9 @@ def _runs(pdf: pd.DataFrame) -> list[tuple[tuple, int, int]]:
     """(key, from, to) of each stretch of equal (source, field) in a partition."""
     if not len(pdf):
         return []
-    keys = list(zip(pdf["source"], pdf["field_name"]))
-    cuts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
-    return [(keys[a], a, b) for a, b in zip(cuts, cuts[1:])]
+    s, f = pdf["source"].to_numpy(), pdf["field_name"].to_numpy()
+    cuts = [0, *(np.nonzero((s[1:] != s[:-1]) | (f[1:] != f[:-1]))[0] + 1).tolist(), len(s)]
+    return [((s[a], f[a]), a, b) for a, b in zip(cuts, cuts[1:])]
 
 
 def _values(pdf: pd.DataFrame) -> list[Value]:
@@ -135,7 +156,9 @@ def resolve_instants(values: DataFrame, *, conventions: frozenset = STATED) -> D
     """
     v = values.select(F.coalesce(F.col("source"), F.lit("")).alias("source"), "field_name", F.col("ord").cast("long").alias("ord"), "text", "tz_name")
     order = ["source", "field_name", "ord", "text", "tz_name"]
-    ranged = v.repartitionByRange(slots(v.sparkSession), *order).sortWithinPartitions(*order)
+    # a task holds the stretch of one device it is solving: at most the values of its range, whatever the device's share
+    tasks = max(slots(v.sparkSession), -(-v.count() // TASK_VALUES))
+    ranged = v.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
 
     def read(batches):
         for pdf in batches:
@@ -147,20 +170,24 @@ def resolve_instants(values: DataFrame, *, conventions: frozenset = STATED) -> D
 
     def borders(batches):
         # only the first and the last run of a partition can go on elsewhere
-        first, last, pid = None, None, None
+        first: Border | None = None
+        last: Border | None = None
+        pid = None
         for pdf in batches:
             pdf = pdf[pdf["formats"].map(len) > 0]
             values = _values(pdf)
             for k, a, b in _runs(pdf):
                 pid = int(pdf["pid"].iloc[0])
-                if last is not None and last[0] == k:
-                    last[1].extend(values[a:b])
-                    continue
-                first = first or last
-                last = (k, values[a:b])
-        for k, run in [r for r in (first, last) if r]:
-            cost = summary(run)
-            yield pd.DataFrame({"pid": [pid], "source": [k[0]], "field_name": [k[1]], "f0": [run[0][0]], "u0": [run[0][1]], "f1": [run[-1][0]], "u1": [run[-1][1]], "cost": [[c for row in cost for c in row]]})
+                if last is None or last.key != k:
+                    first = first or last
+                    last = Border(k, values[a])
+                    a += 1
+                for v in values[a:b]:
+                    last.add(v)
+        for r in (first, last):
+            if r:
+                (f0, u0), (f1, u1) = r.first, r.last
+                yield pd.DataFrame({"pid": [pid], "source": [r.key[0]], "field_name": [r.key[1]], "f0": [f0], "u0": [u0], "f1": [f1], "u1": [u1], "cost": [[c for row in r.costs for c in row]]})
 
     ends = read_rows.mapInPandas(borders, "pid int, source string, field_name string, f0 array<int>, u0 array<long>, f1 array<int>, u1 array<long>, cost array<double>").collect()
     chains: dict[tuple, list[dict]] = {}

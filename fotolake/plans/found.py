@@ -18,6 +18,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_and_inside(media, table(spark, sf_dir, "geo_regions"), radius_m=50.0)
 
 
+def p2_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same between spots: rows at the very same coordinates are one spot, named by its smallest id, and listed as `same`."""
+    media = table(spark, sf_dir, "media").where("not missing")
+    return near_and_inside(media, table(spark, sf_dir, "geo_regions"), radius_m=50.0, expand=False)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timestamp texts that mean exactly one instant under the stated conventions."""
     chosen = resolve_instants(field_values(table(spark, sf_dir, "file_meta")))
@@ -37,15 +43,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("n_shots >= 2").select("camera", "start_s", "end_s", "n_shots")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_resolved": p3_resolved, "p5_found": p5_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_spots": p2_spots, "p3_found": p3_found, "p3_resolved": p3_resolved, "p5_found": p5_found}
 
 _HAV = "2 * 6371008.8 * asin(sqrt(least(1.0, power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2))))"
 
-ORACLE: dict[str, str] = {
-    # Latitude bands of 0.0005 degrees (over 50 m) meet their neighbours; longitude is left to the exact distance.
-    "p2_found": f"""
-WITH p AS (SELECT DISTINCT id, lat, lon FROM media WHERE NOT missing AND abs(lat) <= 90 AND abs(lon) <= 180 AND NOT (lat = 0 AND lon = 0)),
-     band AS (SELECT *, CAST(floor(lat / 0.0005) AS BIGINT) AS k FROM p),
+# Latitude bands of 0.0005 degrees (over 50 m) meet their neighbours; longitude is left to the exact distance.
+_NEAR_AND_INSIDE = f"""band AS (SELECT *, CAST(floor(lat / 0.0005) AS BIGINT) AS k FROM p),
      other AS (SELECT id, lat, lon, k + d AS k FROM band, (VALUES (-1), (0), (1)) v(d)),
      near AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM band a JOIN other b ON a.k = b.k AND a.id < b.id WHERE {_HAV} <= 50),
      side AS (SELECT region_id, ring_lat[i] AS lat1, ring_lon[i] AS lon1, ring_lat[CASE WHEN i = len(ring_lat) THEN 1 ELSE i + 1 END] AS lat2,
@@ -55,8 +58,19 @@ WITH p AS (SELECT DISTINCT id, lat, lon FROM media WHERE NOT missing AND abs(lat
      hit AS (SELECT p.id, s.region_id, (p.lon - s.lon1) - 360 * floor((p.lon - s.lon1 + 180) / 360) AS t, s.w, s.lat1, s.lat2, p.lat FROM p, span s WHERE s.w <> 0),
      inside AS (SELECT id, region_id FROM hit
                 WHERE ((w > 0 AND t >= 0 AND t < w) OR (w < 0 AND t < 0 AND t >= w)) AND lat1 + (lat2 - lat1) * (t / w) > lat
-                GROUP BY ALL HAVING count(*) % 2 = 1)
+                GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
+ORACLE: dict[str, str] = {
+    "p2_found": f"""
+WITH p AS (SELECT DISTINCT id, lat, lon FROM media WHERE NOT missing AND abs(lat) <= 90 AND abs(lon) <= 180 AND NOT (lat = 0 AND lon = 0)),
+     {_NEAR_AND_INSIDE}
 SELECT 'near' AS relation, id_a, id_b FROM near UNION ALL SELECT 'inside', id, region_id FROM inside
+""",
+    "p2_spots": f"""
+WITH q AS (SELECT DISTINCT id, lat, lon FROM media WHERE NOT missing AND abs(lat) <= 90 AND abs(lon) <= 180 AND NOT (lat = 0 AND lon = 0)),
+     p AS (SELECT min(id) AS id, lat, lon FROM q GROUP BY lat, lon),
+     {_NEAR_AND_INSIDE}
+SELECT 'near' AS relation, id_a, id_b FROM near UNION ALL SELECT 'inside', id, region_id FROM inside UNION ALL SELECT 'same', p.id, q.id FROM p JOIN q USING (lat, lon) WHERE p.id <> q.id
 """,
     # Zones shift by half an hour or an hour, so a wall time's other instants lie that far from the one found.
     "p3_found": r"""

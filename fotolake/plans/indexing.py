@@ -31,13 +31,14 @@ def media_rows(meta: DataFrame) -> DataFrame:
     )
 
 
-def index_library(store: Store, root: str, *, with_exif: bool = True, images_only: bool = True) -> dict[str, int]:
+def index_library(store: Store, root: str, *, with_exif: bool = True, images_only: bool = True, cache: str | None = None) -> dict[str, int]:
     """Bring the `media` table up to date with a folder; each stage writes a snapshot that the next one reads.
 
-    Returns the counters scanned, updated, unchanged, missing, hashed, analysed and errors. Files of
-    unchanged size and time are not opened. Only present files whose size collides are hashed. Hashing
-    and analysis take up all that the catalog lacks, under this folder or any other. Files that can't be
-    read count as errors and stay due for the next run.
+    Returns the counters scanned, updated, unchanged, missing, hashed, analysed, thumbnails and errors.
+    Files of unchanged size and time are not opened. Only present files whose size collides are hashed.
+    Hashing and analysis take up all that the catalog lacks, under this folder or any other; with a
+    `cache` folder the pictures analysed leave a thumbnail there, from the same decode. Files that can't
+    be read count as errors and stay due for the next run.
     """
     spark = store.spark
     listing = files.walk(spark, root, images_only=images_only)
@@ -70,12 +71,13 @@ def index_library(store: Store, root: str, *, with_exif: bool = True, images_onl
 
     media = store.read("media", MEDIA)
     work = cut(c.analysis_worklist(media))
-    counters["analysed"] = 0
+    counters["analysed"] = counters["thumbnails"] = 0
     if not work.isEmpty():
         closed = cut(files.unreadable(work.repartition(slots(spark))))
-        work, lost = work.join(closed, "path", "left_anti"), lost.unionByName(closed)
-        done = cut(images.analyse_files(spark, work.repartition(slots(spark))).join(work, "path"))
+        work, lost = cut(work.join(closed, "path", "left_anti").join(media.select("id", m.thumbnail_path().alias("place")), "id")), lost.unionByName(closed)
+        done = cut(images.analyse_files(spark, work.select("path", "place").repartition(slots(spark)), cache).join(work, "path"))
         counters["analysed"] = done.where("phash is not null").count()
+        counters["thumbnails"] = counters["analysed"] if cache else 0
         media = c.set_columns(media, done, ("phash", "dom_color"))
         store.write("media", c.set_columns(media, done, ("width", "height"), keep_known=True))
     counters["errors"] = lost.distinct().count()
@@ -85,7 +87,7 @@ def index_library(store: Store, root: str, *, with_exif: bool = True, images_onl
 def summary(counters: dict[str, int]) -> str:
     """One line about an index run; what did not happen is left out."""
     parts = [f"{counters['scanned']} file(s): {counters['updated']} updated, {counters['unchanged']} unchanged"]
-    parts += [f"{counters[k]} {k}" for k in ("hashed", "analysed", "missing") if counters.get(k)]
+    parts += [f"{counters[k]} {k}" for k in ("hashed", "analysed", "thumbnails", "missing") if counters.get(k)]
     if counters.get("errors"):
         parts.append(f"{counters['errors']} error(s)")
     return ", ".join(parts)

@@ -28,13 +28,14 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _media(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "media").select(*MEDIA.names).distinct()
+def _media(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The catalog, repeated rows once; only the columns named (the id among them) are read and shuffled for it."""
+    return table(spark, sf, "media").select(*(columns or MEDIA.names)).distinct()
 
 
 def _user_meta(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "media_id", "doc_kind", "created_at")
-    by = docs.join(_media(spark, sf).select(F.col("id").alias("media_id"), "content_hash"), "media_id").where("content_hash is not null")
+    by = docs.join(_media(spark, sf, "id", "content_hash").withColumnRenamed("id", "media_id"), "media_id").where("content_hash is not null")
     kind = F.when(F.max((F.col("doc_kind") == "manual").cast("int")) == 1, "saved")
     return by.groupBy("content_hash").agg(
         F.coalesce(F.max(F.col("doc_kind") == "question"), F.lit(False)).alias("hidden"), F.least(F.count(F.lit(1)), F.lit(5)).cast("tinyint").alias("rating"), kind.alias("kind"),
@@ -42,14 +43,21 @@ def _user_meta(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _present(spark: SparkSession, sf: str, visibility: str = c.ALL) -> DataFrame:
-    return c.present(_media(spark, sf), _user_meta(spark, sf), visibility)
+def _present(spark: SparkSession, sf: str, visibility: str = c.ALL, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Present rows with the user's fields; `columns` beside those that needs, or all."""
+    need = [*dict.fromkeys(("id", "path", "content_hash", "missing", *columns))] if columns else []
+    return c.present(_media(spark, sf, *need), _user_meta(spark, sf), visibility)
+
+
+_STAT = ("id", "path", "size", "content_hash", "phash", "missing")
+_KEEPER = ("size", "mtime", "width", "height")
+_KIND = ("file_name", "camera_make", "camera_model", "lens", "iso", "date_taken", "width", "height")
 
 
 def _listing(spark: SparkSession, sf: str) -> DataFrame:
     """Files on disk: those `file_meta` reports under their known path, with the size it reports, and new ones."""
     seen = table(spark, sf, "file_meta").groupBy("media_id").agg(F.max("size").alias("size"))
-    known = _media(spark, sf).select("id", "path", "mtime").join(seen.withColumnRenamed("media_id", "id"), "id").select("path", "size", "mtime")
+    known = _media(spark, sf, "id", "path", "mtime").join(seen.withColumnRenamed("media_id", "id"), "id").select("path", "size", "mtime")
     return known.unionByName(table(spark, sf, "incoming").select("path", "size", "mtime").distinct())
 
 
@@ -63,7 +71,7 @@ def _new_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Entries for the non-keepers of exact groups: the batch is the year of the file, pictures with a camera were restored."""
-    gone = d.with_keeper(d.exact_members(_present(spark, sf))).where("not is_keeper").select("id", "path", "mtime", "camera_model")
+    gone = d.with_keeper(d.exact_members(_present(spark, sf, columns=(*_KEEPER, "camera_model")))).where("not is_keeper").select("id", "path", "mtime", "camera_model")
     return gone.select(
         "id", F.year(F.timestamp_seconds("mtime")).cast("long").alias("batch"), F.col("path").alias("original_path"), F.concat(F.lit("/vault"), "path").alias("quarantine_path"), F.col("mtime").alias("moved_at"), F.col("camera_model").isNotNull().alias("restored")
     )
@@ -121,57 +129,57 @@ def _row(df: DataFrame) -> DataFrame:
 
 @query("library_stats", f"SELECT {_STATS} FROM al")
 def library_stats(spark, sf):
-    return c.library_stats(_media(spark, sf))
+    return c.library_stats(_media(spark, sf, *_STAT))
 
 
 @query("library_stats_under_root", f"SELECT {_STATS} FROM al WHERE starts_with(path, '{ROOT}/')")
 def library_stats_under_root(spark, sf):
-    return c.library_stats(_media(spark, sf), ROOT)
+    return c.library_stats(_media(spark, sf, *_STAT), ROOT)
 
 
 @query("library_stats_by_folder", f"SELECT string_split(path, '/')[3] AS folder, {_STATS} FROM al GROUP BY 1")
 def library_stats_by_folder(spark, sf):
-    return c.stats_by_folder(_media(spark, sf))
+    return c.stats_by_folder(_media(spark, sf, *_STAT))
 
 
 @query("size_collisions", "SELECT size, CAST(count(*) AS BIGINT) AS files FROM al GROUP BY size HAVING count(*) > 1")
 def size_collisions(spark, sf):
-    return c.colliding_sizes(_media(spark, sf))
+    return c.colliding_sizes(_media(spark, sf, "id", "size", "missing"))
 
 
 @query("hash_worklist", "SELECT id, path, size FROM al WHERE content_hash IS NULL AND size IN (SELECT size FROM al GROUP BY size HAVING count(*) > 1)")
 def hash_worklist(spark, sf):
-    return c.hash_worklist(_media(spark, sf))
+    return c.hash_worklist(_media(spark, sf, "id", "path", "size", "content_hash", "missing"))
 
 
 @query("analysis_worklist", f"SELECT id, path FROM al WHERE (phash IS NULL OR dom_color IS NULL) AND lower(ext) IN ({_IN(m.DECODABLE_EXTS)})")
 def analysis_worklist(spark, sf):
-    return c.analysis_worklist(_media(spark, sf))
+    return c.analysis_worklist(_media(spark, sf, "id", "path", "ext", "phash", "dom_color", "missing"))
 
 
 @query("present_all", f"SELECT {_ROW} FROM al")
 def present_all(spark, sf):
-    return _row(_present(spark, sf))
+    return _row(_present(spark, sf, columns=("size",)))
 
 
 @query("present_visible", f"SELECT {_ROW} FROM vis")
 def present_visible(spark, sf):
-    return _row(_present(spark, sf, c.VISIBLE_ONLY))
+    return _row(_present(spark, sf, c.VISIBLE_ONLY, ("size",)))
 
 
 @query("present_under_root", f"SELECT {_ROW} FROM vis WHERE starts_with(path, '{ROOT}/')")
 def present_under_root(spark, sf):
-    return _row(c.present(_media(spark, sf), _user_meta(spark, sf), c.VISIBLE_ONLY, ROOT))
+    return _row(c.present(_media(spark, sf, "id", "path", "size", "content_hash", "missing"), _user_meta(spark, sf), c.VISIBLE_ONLY, ROOT))
 
 
 @query("hidden_count", "SELECT CAST(count(*) AS BIGINT) AS hidden FROM al WHERE hidden")
 def hidden_count(spark, sf):
-    return c.hidden_count(_media(spark, sf), _user_meta(spark, sf))
+    return c.hidden_count(_media(spark, sf, "id", "content_hash", "missing"), _user_meta(spark, sf))
 
 
 @query("stamps", "SELECT id, path, size, mtime, meta_version, missing, content_hash IS NOT NULL AS has_hash, phash IS NOT NULL AS has_phash FROM md")
 def stamps(spark, sf):
-    return c.stamps(_media(spark, sf))
+    return c.stamps(_media(spark, sf, "id", "path", "size", "mtime", "meta_version", "missing", "content_hash", "phash"))
 
 
 @query("user_meta", "SELECT content_hash, hidden, CAST(rating AS INT) AS rating, kind FROM um")
@@ -181,17 +189,17 @@ def user_meta(spark, sf):
 
 @query("kind_effective", "SELECT id, eff AS kind, eff || CASE WHEN kind IS NULL THEN '' ELSE '*' END AS label FROM al")
 def kind_effective(spark, sf):
-    return _present(spark, sf).select("id", m.effective_kind().alias("kind"), m.kind_label().alias("label"))
+    return _present(spark, sf, columns=_KIND).select("id", m.effective_kind().alias("kind"), m.kind_label().alias("label"))
 
 
 @query("kind_counts", "SELECT eff AS kind, CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM al GROUP BY eff")
 def kind_counts(spark, sf):
-    return _present(spark, sf).groupBy(m.effective_kind().alias("kind")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    return _present(spark, sf, columns=(*_KIND, "size")).groupBy(m.effective_kind().alias("kind")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
 @query("exact_members", "SELECT id, group_id, r = 1 AS is_keeper FROM ex WHERE n > 1", _CTE + "," + _EXACT)
 def exact_members(spark, sf):
-    x = d.with_keeper(d.exact_members(_present(spark, sf)))
+    x = d.with_keeper(d.exact_members(_present(spark, sf, columns=_KEEPER)))
     names = x.groupBy("group_key").agg(F.min("id").alias("group_id"))
     return x.join(names, "group_key").select("id", "group_id", "is_keeper")
 
@@ -201,7 +209,7 @@ _GROUP = "dup_kind, group_id, n, keeper_id, reclaimable, spread, first_path"
 
 @query("exact_groups", f"SELECT {_GROUP} FROM exg", _CTE + "," + _EXACT)
 def exact_groups(spark, sf):
-    return d.groups(d.exact_members(_present(spark, sf))).select(*_GROUP.split(", "))
+    return d.groups(d.exact_members(_present(spark, sf, columns=(*_KEEPER, "phash")))).select(*_GROUP.split(", "))
 
 
 @query(
@@ -214,24 +222,24 @@ def exact_groups_by_kind(spark, sf):
 
 @query("near_pairs_t6", "SELECT a.phash AS a, b.phash AS b, CAST(bit_count(xor(a.phash, b.phash)) AS INT) AS distance FROM np a JOIN np b ON a.phash < b.phash AND bit_count(xor(a.phash, b.phash)) <= 6", _CTE + ", np AS (SELECT DISTINCT phash FROM al WHERE phash IS NOT NULL)")
 def near_pairs_t6(spark, sf):
-    return hamming_pairs(_present(spark, sf), 6)
+    return hamming_pairs(_present(spark, sf, columns=("phash",)), 6)
 
 
 @query("near_pairs_t12", "SELECT a.phash AS a, b.phash AS b, CAST(bit_count(xor(a.phash, b.phash)) AS INT) AS distance FROM np a JOIN np b ON a.phash < b.phash AND bit_count(xor(a.phash, b.phash)) <= 12", _CTE + ", np AS (SELECT DISTINCT phash FROM al WHERE phash IS NOT NULL)")
 def near_pairs_t12(spark, sf):
-    return hamming_pairs(_present(spark, sf), 12)
+    return hamming_pairs(_present(spark, sf, columns=("phash",)), 12)
 
 
 @query("near_members", "SELECT id, group_id, r = 1 AS is_keeper FROM ne", _CTE + "," + _NEARS, recursive=True)
 def near_members(spark, sf):
-    x = d.with_keeper(d.near_members(_present(spark, sf)))
+    x = d.with_keeper(d.near_members(_present(spark, sf, columns=(*_KEEPER, "phash"))))
     names = x.groupBy("group_key").agg(F.min("id").alias("group_id"))
     return x.join(names, "group_key").select("id", "group_id", "is_keeper")
 
 
 @query("near_groups", f"SELECT {_GROUP} FROM neg", _CTE + "," + _NEARS, recursive=True)
 def near_groups(spark, sf):
-    return d.groups(d.near_members(_present(spark, sf))).select(*_GROUP.split(", "))
+    return d.groups(d.near_members(_present(spark, sf, columns=(*_KEEPER, "phash")))).select(*_GROUP.split(", "))
 
 
 def _burst_sql(window: int) -> str:
@@ -242,7 +250,7 @@ bg AS (SELECT min(id) AS group_id, cam, min(date_taken) AS start_s, max(date_tak
 
 
 def _bursts(spark, sf, window):
-    x = d.burst_members(_present(spark, sf), window)
+    x = d.burst_members(_present(spark, sf, columns=("camera_model", "date_taken")), window)
     return x.groupBy("group_key").agg(F.min("id").alias("group_id"), F.coalesce(F.max("camera_model"), F.lit("")).alias("cam"), F.min("date_taken").alias("start_s"), F.max("date_taken").alias("end_s"), F.count(F.lit(1)).alias("n")).drop("group_key")
 
 
@@ -258,22 +266,22 @@ def burst_runs_600s(spark, sf):
 
 @query("dup_report", f"SELECT {_GROUP}, CAST(row_number() OVER (ORDER BY dup_kind, reclaimable DESC, string_split(first_path, '/'), group_id) AS BIGINT) AS rank FROM (FROM exg UNION ALL FROM neg)", _CTE + "," + _EXACT + "," + _NEARS, recursive=True)
 def dup_report(spark, sf):
-    return d.report(d.all_members(_present(spark, sf), by_kind=False)).select(*_GROUP.split(", "), "rank")
+    return d.report(d.all_members(_present(spark, sf, columns=(*_KEEPER, "phash")), by_kind=False)).select(*_GROUP.split(", "), "rank")
 
 
 @query("dup_totals", "SELECT dup_kind, CAST(count(*) AS BIGINT) AS groups, CAST(sum(reclaimable) AS BIGINT) AS reclaimable, CAST(sum(n - 1) AS BIGINT) AS removable FROM (FROM exg UNION ALL FROM neg) GROUP BY 1", _CTE + "," + _EXACT + "," + _NEARS, recursive=True)
 def dup_totals(spark, sf):
-    return d.totals(d.groups(d.all_members(_present(spark, sf), by_kind=False)))
+    return d.totals(d.groups(d.all_members(_present(spark, sf, columns=(*_KEEPER, "phash")), by_kind=False)))
 
 
 @query("removal_selection", "SELECT id, path, size FROM ex WHERE n > 1 AND r > 1", _CTE + "," + _EXACT)
 def removal_selection(spark, sf):
-    return d.removal_selection(d.exact_members(_present(spark, sf)))
+    return d.removal_selection(d.exact_members(_present(spark, sf, columns=_KEEPER)))
 
 
 @query("removal_plan", "SELECT path, '/vault/batch-0007' || path AS dest FROM ex WHERE n > 1 AND r > 1", _CTE + "," + _EXACT)
 def removal_plan(spark, sf):
-    return rename.removal_plan(removal_selection(spark, sf), "/vault", 7, _media(spark, sf))
+    return rename.removal_plan(removal_selection(spark, sf), "/vault", 7, _media(spark, sf, "id", "path"))
 
 
 @query("images_text_filter", "SELECT id FROM vis WHERE contains(lower(path), 'summer')")
@@ -291,6 +299,11 @@ def images_kind_filter(spark, sf):
     return o.visible_images(_present(spark, sf, c.VISIBLE_ONLY), kinds=["screenshot", "saved"]).select("id")
 
 
+def _ranked(spark, sf, order: str, columns: tuple[str, ...]) -> DataFrame:
+    """Visible rows ranked; only what the order needs is carried through it."""
+    return o.ranked(_present(spark, sf, c.VISIBLE_ONLY, columns).select("id", *dict.fromkeys(("path", *columns)), "rating"), order)
+
+
 _PATHS = "string_split(path, '/')"
 _HSL = """,
 ch AS (SELECT id, path, dom_color, CAST((dom_color >> 16) & 255 AS FLOAT) / 255::FLOAT AS r, CAST((dom_color >> 8) & 255 AS FLOAT) / 255::FLOAT AS g, CAST(dom_color & 255 AS FLOAT) / 255::FLOAT AS b FROM vis),
@@ -305,39 +318,52 @@ hk AS (SELECT *, CAST(CASE WHEN dom_color IS NULL THEN 2 WHEN s < 0.15::FLOAT TH
 
 @query("rank_path", f"SELECT id, CAST(row_number() OVER (ORDER BY {_PATHS}) AS BIGINT) AS rank FROM vis")
 def rank_path(spark, sf):
-    return o.ranked(_present(spark, sf, c.VISIBLE_ONLY), "path").select("id", "rank")
+    return _ranked(spark, sf, "path", ("path",)).select("id", "rank")
 
 
 @query("rank_date", f"SELECT id, CAST(row_number() OVER (ORDER BY coalesce(date_taken, mtime), {_PATHS}) AS BIGINT) AS rank FROM vis")
 def rank_date(spark, sf):
-    return o.ranked(_present(spark, sf, c.VISIBLE_ONLY), "date").select("id", "rank")
+    return _ranked(spark, sf, "date", ("date_taken", "mtime")).select("id", "rank")
 
 
 @query("rank_size", f"SELECT id, CAST(row_number() OVER (ORDER BY size DESC, {_PATHS}) AS BIGINT) AS rank FROM vis")
 def rank_size(spark, sf):
-    return o.ranked(_present(spark, sf, c.VISIBLE_ONLY), "size").select("id", "rank")
+    return _ranked(spark, sf, "size", ("size",)).select("id", "rank")
 
 
 @query("rank_colour", f"SELECT id, bucket, major, minor, CAST(row_number() OVER (ORDER BY bucket, major, minor, {_PATHS}) AS BIGINT) AS rank FROM hk", _CTE + _HSL)
 def rank_colour(spark, sf):
     k = m.hue_key()
-    return o.ranked(_present(spark, sf, c.VISIBLE_ONLY), "colour").select("id", k["bucket"].alias("bucket"), k["major"].alias("major"), k["minor"].alias("minor"), "rank")
+    return _ranked(spark, sf, "colour", ("dom_color",)).select("id", k["bucket"].alias("bucket"), k["major"].alias("major"), k["minor"].alias("minor"), "rank")
 
 
 @query("rank_rating", f"SELECT id, CAST(row_number() OVER (ORDER BY rating DESC, {_PATHS}) AS BIGINT) AS rank FROM vis")
 def rank_rating(spark, sf):
-    return o.ranked(_present(spark, sf, c.VISIBLE_ONLY), "rating").select("id", "rank")
+    return _ranked(spark, sf, "rating", ("path",)).select("id", "rank")
 
 
 @query("hsl", "SELECT id, CAST(h AS DOUBLE) AS h, CAST(s AS DOUBLE) AS s, CAST(l AS DOUBLE) AS l FROM hs WHERE dom_color IS NOT NULL", _CTE + _HSL)
 def hsl(spark, sf):
     x = m.hsl()
-    return _present(spark, sf, c.VISIBLE_ONLY).where("dom_color is not null").select("id", *[x[k].cast("double").alias(k) for k in "hsl"])
+    return _present(spark, sf, c.VISIBLE_ONLY, ("dom_color",)).where("dom_color is not null").select("id", *[x[k].cast("double").alias(k) for k in "hsl"])
 
 
-@query("shuffle_seeded")
+# The exchanges of the shuffle one by one, then where each place's item came from: an item that stands at a place before exchange k
+# was put there by the latest earlier exchange that had this place as its partner.
+_SHUFFLE = f""",
+c AS (SELECT CAST(count(*) AS BIGINT) AS n FROM vis),
+g AS (SELECT 0::BIGINT AS k, 42::HUGEINT AS x UNION ALL SELECT k + 1, xor(b, (b * 131072) % 18446744073709551616) FROM (SELECT k, xor(a, a // 128) AS b FROM (SELECT k, xor(x, (x * 8192) % 18446744073709551616) AS a FROM g WHERE k < (SELECT n - 1 FROM c)))),
+sw AS (SELECT k, CAST(x % (n - k + 1) AS BIGINT) AS other FROM g, c WHERE k BETWEEN 1 AND n - 1),
+st AS (SELECT n - a.k AS p, a.other AS q, max(b.k) AS j FROM sw a CROSS JOIN c LEFT JOIN sw b ON b.other = a.other AND b.k < a.k GROUP BY ALL UNION ALL SELECT 0, 0, max(k) FROM sw WHERE other = 0),
+nx AS (SELECT a.k AS j, max(b.k) AS i FROM sw a CROSS JOIN c JOIN sw b ON b.other = n - a.k AND b.k < a.k GROUP BY 1),
+r AS (SELECT p, j FROM st WHERE j IS NOT NULL UNION ALL SELECT r.p, nx.i FROM r JOIN nx ON nx.j = r.j),
+fin AS (SELECT st.p, coalesce(n - min(r.j), any_value(q)) AS v FROM st CROSS JOIN c LEFT JOIN r USING (p) GROUP BY st.p, n),
+od AS (SELECT id, row_number() OVER (ORDER BY {_PATHS}) - 1 AS v FROM vis)"""
+
+
+@query("shuffle_seeded", "SELECT id, CAST(p + 1 AS BIGINT) AS rank FROM fin JOIN od USING (v)", _CTE + _SHUFFLE, recursive=True)
 def shuffle_seeded(spark, sf):
-    return o.shuffled(_present(spark, sf, c.VISIBLE_ONLY).select("id", "path"), 42).select("id", "rank")
+    return o.shuffled(_present(spark, sf, c.VISIBLE_ONLY, ("path",)).select("id", "path"), 42).select("id", "rank")
 
 
 @query(
@@ -392,7 +418,7 @@ ch AS (SELECT coalesce(li.path, md.path) AS path, id, CASE WHEN id IS NULL THEN
 
 @query("change_classify", "SELECT * FROM ch", _CTE + _LIST)
 def change_classify(spark, sf):
-    return c.classify_changes(_listing(spark, sf), _media(spark, sf))
+    return c.classify_changes(_listing(spark, sf), _media(spark, sf, "id", "path", "size", "mtime", "meta_version", "missing"))
 
 
 @query(
@@ -419,17 +445,17 @@ def upsert_merge(spark, sf):
 @query("mark_missing", f"SELECT id, missing OR (starts_with(path, '{ROOT}/') AND id NOT IN (SELECT media_id FROM file_meta WHERE media_id IS NOT NULL)) AS missing FROM md")
 def mark_missing(spark, sf):
     seen = table(spark, sf, "file_meta").select(F.col("media_id").alias("id")).where("id is not null")
-    return c.mark_missing(_media(spark, sf), seen, ROOT).select("id", "missing")
+    return c.mark_missing(_media(spark, sf, "id", "path", "missing"), seen, ROOT).select("id", "missing")
 
 
 @query("purge_missing", "SELECT id FROM md WHERE NOT missing")
 def purge_missing(spark, sf):
-    return c.purge_missing(_media(spark, sf)).select("id")
+    return c.purge_missing(_media(spark, sf, "id", "missing")).select("id")
 
 
 @query("remove_paths", "SELECT id FROM md WHERE id NOT IN (SELECT id FROM ex WHERE n > 1 AND r > 1)", _CTE + "," + _EXACT)
 def remove_paths(spark, sf):
-    return c.remove_paths(_media(spark, sf), removal_selection(spark, sf)).select("id")
+    return c.remove_paths(_media(spark, sf, "id", "path"), removal_selection(spark, sf)).select("id")
 
 
 @query(
@@ -437,7 +463,7 @@ def remove_paths(spark, sf):
     """SELECT id, CASE WHEN missing THEN path ELSE '/sorted/' || lower(ext) || '/' || id || '.' || ext END AS path, CASE WHEN missing THEN file_name ELSE id || '.' || ext END AS file_name, ext, missing FROM md""",
 )
 def apply_moves(spark, sf):
-    media = _media(spark, sf)
+    media = _media(spark, sf, "id", "path", "file_name", "ext", "missing")
     moves = media.where("not missing").select(F.col("path").alias("src"), F.concat(F.lit("/sorted/"), F.lower("ext"), F.lit("/"), "id", F.lit("."), "ext").alias("dst"))
     return c.apply_moves(media, moves).select("id", "path", "file_name", "ext", "missing")
 
@@ -506,7 +532,7 @@ def rename_collisions(spark, sf):
     _CTE + _PLAN.rstrip().rstrip(","),
 )
 def rename_exists(spark, sf):
-    p = rename.plan(_files(spark, sf), "{name}", output_root="/lib/Camera", existing=_media(spark, sf).select("path"))
+    p = rename.plan(_files(spark, sf), "{name}", output_root="/lib/Camera", existing=_media(spark, sf, "id", "path").select("path"))
     return p.select("src", F.concat(F.lit("/lib/Camera/"), "rel_target").alias("target"), "status")
 
 

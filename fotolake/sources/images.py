@@ -6,6 +6,8 @@ import hashlib
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
@@ -17,6 +19,8 @@ from fotolake.runtime import cut, shared_folder
 
 CLUSTERS, ROUNDS, EDGE = 5, 12, 64
 HASH_W, HASH_H = 9, 8
+#: Paths sent to all workers at once at most (under 30 MB); beyond it pictures are joined to them by shuffle.
+MAX_LINKS = 100_000
 #: Channels of the image source's modes (OpenCV numbering, bytes in BGR order).
 _RED, _GREEN, _BLUE = 2, 1, 0
 ANALYSED = "width int, height int, phash long, dom_color int"
@@ -66,30 +70,46 @@ def dominant_colour(rgb: np.ndarray) -> int:
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded pictures below a folder (what the JVM's ImageIO reads); files that are none are dropped."""
-    return spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root)
+    """path and image of the pictures below a folder (what the JVM's ImageIO reads); files that are none are dropped."""
+    found = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root)
+    return found.select(origin_path().alias("path"), "image")
 
 
-def analyse(images: DataFrame) -> DataFrame:
-    """Image rows to path, width, height, phash, dom_color: all from one decode. Rows without pixels are null.
+def pixels(data, h: int, w: int, n: int) -> np.ndarray | None:
+    """Levels (h, w, 3) of an image row in red, green, blue; None without pixels."""
+    if data is None or h <= 0 or w <= 0:
+        return None
+    a = np.frombuffer(bytes(data), np.uint8).reshape(h, w, n).astype(np.float32)
+    return np.repeat(a, 3, axis=2) if n == 1 else a[:, :, [_RED, _GREEN, _BLUE]]
 
-    The source gives origins percent-encoded; paths are as on disk.
-    """
+
+def origin_path() -> F.Column:
+    """Path on disk of an image row; the source gives origins percent-encoded."""
+    plain = F.regexp_replace("image.origin", "^file:(//)?", "")
+    # '+' stands for itself in a path
+    return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
+
+
+def analyse(images: DataFrame, cache: str | None = None) -> DataFrame:
+    """Image rows (path, image[, place]) to path, width, height, phash, dom_color: all from one decode, as is the thumbnail at `place` in a cache folder if one is given. Rows without pixels are null."""
 
     def run(batches):
+        from fotolake.sources.thumbs import put_thumbnail
+
         for pdf in batches:
             out = []
-            for origin, h, w, n, data in zip(pdf["origin"], pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"]):
-                path = unquote(origin.removeprefix("file://").removeprefix("file:"))
-                if data is None or h <= 0 or w <= 0:
+            for path, place, h, w, n, data in zip(pdf["path"], pdf["place"], pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"]):
+                rgb = pixels(data, h, w, n)
+                if rgb is None:
                     out.append((path, None, None, None, None))
                     continue
-                a = np.frombuffer(bytes(data), np.uint8).reshape(h, w, n).astype(np.float32)
-                rgb = np.repeat(a, 3, axis=2) if n == 1 else a[:, :, [_RED, _GREEN, _BLUE]]
+                if cache is not None and place is not None:
+                    put_thumbnail(cache, place, rgb)
                 out.append((path, w, h, perceptual_hash(rgb), dominant_colour(rgb)))
             yield pd.DataFrame(out, columns=["path", "width", "height", "phash", "dom_color"]).astype({"width": "Int32", "height": "Int32", "phash": "Int64", "dom_color": "Int32"})
 
-    i = images.select(*[F.col(f"image.{c}").alias(c) for c in ("origin", "height", "width", "nChannels", "data")])
+    place = F.col("place") if "place" in images.columns else F.lit(None).cast("string")
+    i = images.select("path", place.alias("place"), *[F.col(f"image.{c}").alias(c) for c in ("height", "width", "nChannels", "data")])
     return i.mapInPandas(run, f"path string, {ANALYSED}")
 
 
@@ -113,8 +133,9 @@ def _linked(paths: DataFrame, stage: str) -> DataFrame:
     return paths.select("path").mapInPandas(run, "name string, path string")
 
 
-def analyse_files(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """`analyse` of the files at `paths(path)`, which keep their paths as given; files that are no pictures are left out.
+@contextmanager
+def opened(spark: SparkSession, paths: DataFrame) -> Iterator[DataFrame]:
+    """path and image of the files at `paths(path, ...)`, with its other columns; files that are no pictures are left out. To be used inside the block.
 
     Spark's image source hides names that begin with a dot or underscore, so it gets links of other
     names, in the folder all executors share; that must be one the file system mounts, as the library is.
@@ -128,8 +149,19 @@ def analyse_files(spark: SparkSession, paths: DataFrame) -> DataFrame:
     try:
         links = cut(_linked(paths, stage))
         if links.isEmpty():
-            return spark.createDataFrame([], f"path string, {ANALYSED}")
-        done = analyse(read_images(spark, "file://" + stage)).withColumn("name", F.element_at(F.split("path", "/"), -1)).drop("path")
-        return cut(links.join(done, "name").drop("name"))
+            yield spark.createDataFrame([], "path string, image struct<origin string, height int, width int, nChannels int, mode int, data binary>").join(paths, "path")
+        else:
+            named = read_images(spark, "file://" + stage).select(F.element_at(F.split("path", "/"), -1).alias("name"), "image")
+            # names are digests and paths are short: the pixels stay where they were decoded
+            known = links.join(paths, "path")
+            if known.count() <= MAX_LINKS:
+                known = F.broadcast(known)
+            yield named.join(known, "name").drop("name")
     finally:
         shutil.rmtree(stage)
+
+
+def analyse_files(spark: SparkSession, paths: DataFrame, cache: str | None = None) -> DataFrame:
+    """`analyse` of the files at `paths(path[, place])`, which keep their paths as given; files that are no pictures are left out."""
+    with opened(spark, paths) as images:
+        return cut(analyse(images, cache))

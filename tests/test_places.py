@@ -31,9 +31,28 @@ def test_date_line_and_pole(spark):
     assert run(spark, rows) == [("near", 1, 2), ("near", 3, 4)]
 
 
-@pytest.mark.parametrize("cell", [5, 1500])
-def test_equals_brute_force(spark, cell, monkeypatch):
+def test_cells_of_two_levels_equal_all_distances():
+    rng = np.random.default_rng(5)
+    pivots = p.unit(np.concatenate([rng.uniform(-80, 80, 300), 48 + rng.normal(0, 0.5, 300)]), np.concatenate([rng.uniform(-180, 180, 300), 11 + rng.normal(0, 0.5, 300)]))
+    xyz, reach = p.unit(rng.uniform(-90, 90, 500), rng.uniform(-180, 180, 500)), rng.choice([50.0, 5e4, 3e7], 500)
+    d = p.arc_m(xyz @ pivots.T)
+    home = d.argmin(axis=1)
+    want = {(i, int(j), int(home[i])) for i in range(500) for j in np.nonzero(d[i] <= d[i, home[i]] + 2 * (reach[i] + p.SLACK_M))[0]}
+    assert set(zip(*(x.tolist() for x in p.Cells(pivots).near(xyz, reach)))) == want
+    assert [x.tolist() for x in p.Cells(pivots[:1]).near(xyz[:2], reach[:2])] == [[0, 1], [0, 0], [0, 0]]
+
+
+def test_a_crowded_spot_is_one_spot(spark):
+    rows = [(k, 48.0, 11.0, "", 0) for k in range(300)] + [(1000, 48.0001, 11.0, "", 0), (1000, -10.0, 5.0, "", 0), (1001, -10.0, 5.0, "", 0)]
+    got = run(spark, rows, expand=False)
+    assert got == [("near", 0, 1000)] + [("same", 0, k) for k in range(1, 300)] + [("same", 1000, 1001)]
+    assert len(run(spark, rows)) == 300 * 299 // 2 + 300 + 1
+
+
+@pytest.mark.parametrize("cell,corners", [(5, 0), (1500, 10)])
+def test_equals_brute_force(spark, cell, corners, monkeypatch):
     monkeypatch.setattr(p, "CELL_PLACES", cell)
+    monkeypatch.setattr(p, "MAX_CORNERS", corners)
     rng = np.random.default_rng(3)
     lat = np.concatenate([rng.uniform(-80, 80, 150), 48 + rng.normal(0, 0.002, 250), np.full(20, 10.0)])
     lon = np.concatenate([rng.uniform(-180, 180, 150), 11 + rng.normal(0, 0.002, 250), np.full(20, 10.0)])

@@ -16,12 +16,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fotolake.runtime import HEAVY_PARTS, cut, maybe_in, skew_join
 
 MIN_CHARS = 300
 #: Characters of text aimed at per shard, and of a phrase's head that goes into an automaton (the rest is compared).
 SHARD_CHARS, HEAD_CHARS = 2_000_000, 32
+#: Shards up to which the rows of one window, one per shard, are few enough for a task (about 4 MB).
+MANY_SHARDS = 100_000
 #: Two independent bases of rolling hashes: phrases go by the first, windows by both (128 bits).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
@@ -180,8 +183,8 @@ def _distinct_windows(size: int):
 
     def made(parts: list[pd.DataFrame]) -> pd.DataFrame:
         held = pd.concat(parts, ignore_index=True)
-        h1, h2, _ = _windows_by_doc(_hashed(held, size))
-        return pd.DataFrame({"shard": int(held["shard"].iloc[0]), "w1": h1, "w2": h2})
+        h1, h2, several = _windows_by_doc(_hashed(held, size))
+        return pd.DataFrame({"shard": int(held["shard"].iloc[0]), "w1": h1, "w2": h2, "several": several})
 
     def run(batches):
         parts: list[pd.DataFrame] = []
@@ -198,9 +201,7 @@ def _distinct_windows(size: int):
 
 
 def among(h1: np.ndarray, h2: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-    """Which pairs (h1, h2) are among the pairs (w1, w2)."""
-    by = np.lexsort((w2, w1))
-    w1, w2 = w1[by], w2[by]
+    """Which pairs (h1, h2) are among the pairs (w1, w2), which rise by w1."""
     found = np.zeros(len(h1), bool)
     at = np.searchsorted(w1, h1)
     todo = np.arange(len(h1))
@@ -218,6 +219,8 @@ def _cover(size: int):
         w1, w2 = w1[several], w2[several]
         if len(elsewhere):
             w1, w2 = (np.concatenate((w, elsewhere[c].to_numpy(np.int64))) for w, c in ((w1, "w1"), (w2, "w2")))
+        by = np.argsort(w1, kind="stable")  # once for all documents of the shard
+        w1, w2 = w1[by], w2[by]
         ids, chars = [], []
         for doc, starts, h1, h2 in docs:
             on = starts[among(h1, h2, w1, w2)]
@@ -230,12 +233,16 @@ def _cover(size: int):
     return run
 
 
-def _elsewhere(windows: DataFrame) -> DataFrame:
-    """Windows held by two or more shards, for each shard that holds them: shard, w1, w2.
+def _elsewhere(windows: DataFrame, shards: int) -> DataFrame:
+    """Windows held by two or more shards, for each shard that needs to be told: shard, w1, w2.
 
-    Aggregated per window with partial results, so a passage in all shards is one row, not one task.
-    Its first and last shard come with it; only windows of more shards need the rows again.
+    A window has at most a row per shard. Up to MANY_SHARDS that bounds the rows of a window in a
+    task; beyond, windows are aggregated with partial results, so that a passage in all shards is
+    one row: its first and last shard come with it, and only windows of more shards need the rows again.
     """
+    if shards <= MANY_SHARDS:
+        everywhere = Window.partitionBy("w1", "w2")
+        return windows.withColumn("_n", F.count(F.lit(1)).over(everywhere)).where("_n > 1 and not several").select("shard", "w1", "w2")
     met = windows.groupBy("w1", "w2").agg(F.min("shard").alias("lo"), F.max("shard").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     met = cut(met)
     ends = met.select(F.explode(F.array("lo", "hi")).alias("shard"), "w1", "w2")
@@ -243,7 +250,7 @@ def _elsewhere(windows: DataFrame) -> DataFrame:
     more = cut(met.where("n > 2").select(window))
     if more.isEmpty():
         return ends
-    rows = cut(maybe_in(windows.select("shard", window), more, "window"))
+    rows = cut(maybe_in(windows.where("not several").select("shard", window), more, "window"))
     rest = skew_join(rows, more, "window", "left_semi").select("shard", "window.w1", "window.w2")
     return ends.unionByName(rest)
 
@@ -274,7 +281,7 @@ def shared_spans(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     located = cut(texts.groupBy("shard").applyInPandas(_locate(min_chars, k), "shard int, doc_id long, text string, runs binary"))
     # a window is one row per shard at most, however many documents have it. A document is in one
     # shard, so a window in two shards is in two documents; what a shard has twice it knows itself.
-    windows = located.mapInPandas(_distinct_windows(min_chars), "shard int, w1 long, w2 long")
-    shared = _elsewhere(windows)
+    windows = located.mapInPandas(_distinct_windows(min_chars), "shard int, w1 long, w2 long, several boolean")
+    shared = _elsewhere(windows, shards)
     schema = "doc_id long, shared_chars long"
     return located.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(_cover(min_chars), schema)

@@ -36,7 +36,9 @@ def _amplitude(v: int) -> tuple[int, int]:
 
 
 def encode_jpeg(rgb: np.ndarray, quality: int = QUALITY) -> bytes:
-    """A baseline JPEG of (height, width, 3) levels; `quality` is the step of the finest coefficients."""
+    """A baseline JPEG of (height, width, 3) levels; `quality`, 2 at least, is the step of the finest coefficients."""
+    if quality < 2:  # coefficients would not fit the ten bits they have
+        raise ValueError(quality)
     h, w, _ = rgb.shape
     steps = np.minimum(255, quality + (_N[:, None] + _N[None, :]) * quality // 2).astype(np.int64)
     full = np.pad(rgb.astype(np.float64), ((0, -h % 8), (0, -w % 8), (0, 0)), mode="edge")

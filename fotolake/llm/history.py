@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fotolake.runtime import cut, maybe_in, skew_join
+from fotolake.runtime import cut, maybe_in, skew_join, slots
 
 #: Codes per shard, links given per code (kept up to twice as many), entry codes, codes expanded per step.
 SHARD_CODES, LINKS, ENTRIES, EXPAND = 196_608, 24, 4_096, 8
@@ -30,6 +30,8 @@ BEAMS, TARGET_RECALL, PROBES = (32, 48, 64, 96, 128, 192, 256, 384), 0.995, 512
 BUILD_BEAM, BATCH = 48, 1_024
 #: Shards of a segment from which it is cut by code region; queries compared with a shard in one task.
 REGION_FROM, BLOCK_QUERIES = 32, 32_768
+#: Tasks a build is spread over at most.
+MOST_TASKS = 100_000
 #: The segment of history; small shards an index holds before they are compacted.
 FIRST, MOST_SMALL = -(1 << 31), 16
 #: Stands for a search of all codes, where no beam reaches the target; queries compared at once in it.
@@ -213,9 +215,11 @@ def build_shards(codes: DataFrame, radius: int, gen: int = 0) -> DataFrame:
     sizes = c.groupBy("segment").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_CODES)).alias("_parts"))
     by_region = F.col("_parts") > REGION_FROM
     # one row per segment, a number of batches: the planner broadcasts it or not by its size
-    sizes = sizes.select(
-        "segment", F.when(by_region, radius + 1).otherwise(1).alias("tables"), F.when(by_region, F.least(F.ceil(F.log2("_parts")), F.lit(widest))).otherwise(0).cast("int").alias("bits")
-    )
+    sizes = cut(sizes.select(
+        "segment", "_parts", F.when(by_region, radius + 1).otherwise(1).alias("tables"), F.when(by_region, F.least(F.ceil(F.log2("_parts")), F.lit(widest))).otherwise(0).cast("int").alias("bits")
+    ))
+    shards = sizes.agg(F.sum(F.col("_parts") * F.col("tables"))).first()[0] or 1
+    sizes = sizes.drop("_parts")
     placed = _in_regions(c.join(sizes, "segment"), "phash")
     # real codes crowd in some regions: a region is cut into as many parts as its own codes fill
     full = cut(placed.groupBy("segment", "tab", "val").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_CODES)).cast("int").alias("_cut")).where("_cut > 1"))
@@ -230,7 +234,9 @@ def build_shards(codes: DataFrame, radius: int, gen: int = 0) -> DataFrame:
         beam, recall = tuned_beam(codes, links, radius)
         return pdf.iloc[:1][[*SHARD, "tables", "bits"]].assign(codes=[codes.tobytes()], links=[forward.tobytes()], n=[len(codes)], beam=[beam], recall=[recall])
 
-    return placed.groupBy(*SHARD).applyInPandas(build, SHARD_SCHEMA)
+    # codes are few bytes and graphs are work: tasks go by the number of shards, which the planner would merge by bytes
+    tasks = max(slots(codes.sparkSession), min(4 * int(shards), MOST_TASKS))
+    return placed.repartition(tasks, *SHARD).groupBy(*SHARD).applyInPandas(build, SHARD_SCHEMA)
 
 
 def search_shards(queries: DataFrame, shards: DataFrame, radius: int, *, exact: bool = False) -> DataFrame:

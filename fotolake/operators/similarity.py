@@ -9,10 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotolake.functions.media import hamming
+from fotolake.operators.scan import scan_pairs
 from fotolake.runtime import cut, skew_join
 
 #: What a candidate pair costs, as a share of what a key costs on both sides of the shuffle.
 PAIR_COST = 0.05
+#: Cost a hash, in keys, beyond which the join is left for a scan, which shuffles no keys.
+MOST_COST = 150
+
+
+def join_cost(n: int, blocks: int, agree: int) -> float:
+    """Cost a hash of joining n evenly spread hashes: its keys, plus the candidates they meet."""
+    return comb(blocks, agree) * (1 + PAIR_COST * n / 2 ** (64 * agree / blocks))
 
 
 def choose_blocks(n: int, radius: int) -> tuple[int, int]:
@@ -25,10 +33,9 @@ def choose_blocks(n: int, radius: int) -> tuple[int, int]:
     best, least = (radius + 1, 1), float("inf")
     for agree in range(1, 64 - radius):
         blocks = radius + agree
-        keys = comb(blocks, agree)
-        if keys >= least:
+        if comb(blocks, agree) >= least:
             break
-        cost = keys * (1 + PAIR_COST * n / 2 ** (64 * agree / blocks))
+        cost = join_cost(n, blocks, agree)
         if cost < least:
             best, least = (blocks, agree), cost
     return best
@@ -40,14 +47,18 @@ def hamming_pairs(hashes: DataFrame, radius: int, *, scope: str | None = None) -
     `hashes(phash[, scope])`; null hashes are left out, equal ones collapse first, so copies never
     multiply. Two hashes within the radius agree on `agree` of the blocks somewhere, so an equi-join
     on each choice of blocks finds all pairs; a pair is kept only at its first agreeing choice,
-    which spares a distinct. Every radius below 64 gives exact pairs; beyond about 12 no choice of
-    blocks is selective, and the candidates near all pairs. A key many hashes share (blocks of
-    zeros) is split by the planner's skew handling, as both sides are shuffled joins.
+    which spares a distinct. A key many hashes share (blocks of zeros) is split by the planner's
+    skew handling, as both sides are shuffled joins. At wide radii no choice of few blocks is
+    selective (at 12, hundreds of keys a hash): there the hashes are scanned in arrays instead,
+    which moves no keys and gives the same exact pairs.
     """
     keep = [scope] if scope else []
     h = hashes.where("phash is not null").select("phash", *keep).distinct()
     h = cut(h)
-    blocks, agree = choose_blocks(max(1, h.count()), radius)
+    n = max(1, h.count())
+    blocks, agree = choose_blocks(n, radius)
+    if join_cost(n, blocks, agree) > MOST_COST:
+        return scan_pairs(h, n, radius, scope=scope)
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fotolake.operators import dupes as d
 from fotolake.operators import similarity
+from fotolake.operators.scan import scan_pairs
 from fotolake.operators.similarity import choose_blocks, components, hamming_pairs
 
 
@@ -90,6 +91,35 @@ def test_blocks_grow_with_rows():
     assert choose_blocks(10**10, 6)[1] > choose_blocks(10**8, 6)[1] and choose_blocks(10**7, 12)[1] > choose_blocks(10**5, 12)[1]
 
 
+@pytest.mark.parametrize("radius, m", [(0, 3), (2, 4), (6, 3), (12, 0), (12, 4), (12, 5), (12, None), (20, 6), (40, None)])
+def test_hamming_scan_equals_brute_force(spark, radius, m):
+    rng = random.Random(radius)
+    codes = {rng.getrandbits(64) for _ in range(60)} | set(range(20)) | {2**64 - 1, 2**63}
+    for c in sorted(codes):
+        codes.add(c ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(1, 15))))
+    signed = lambda c: c - 2**64 if c >= 2**63 else c
+    rows = sorted({(rng.choice(["x", "y", None]), signed(c)) for c in codes}, key=str) + [("y", 5), ("x", 5), ("alone", 0)]
+    rows = spark.createDataFrame(sorted(set(rows), key=str), "kind string, phash long")
+    near = lambda u, v: bin((u ^ v) & (2**64 - 1)).count("1")
+    true = lambda h: sorted((s, a, b, near(a, b)) for s, a in h for t, b in h if s == t and a < b and near(a, b) <= radius)
+    got = scan_pairs(rows, rows.count(), radius, scope="kind", chunk=70, packed=16, m=m)
+    assert got.columns == ["kind", "a", "b", "distance"]
+    assert sorted(map(tuple, got.collect())) == true([tuple(x) for x in rows.where("kind is not null").collect()])
+    plain = rows.select("phash").distinct()
+    got = scan_pairs(plain, plain.count(), radius, chunk=70, packed=16, m=m)
+    assert sorted(("", *x) for x in map(tuple, got.collect())) == true([("", x.phash) for x in plain.collect()])
+
+
+def test_a_wide_radius_moves_no_keys(spark, monkeypatch):
+    assert similarity.join_cost(3_300, *choose_blocks(3_300, 12)) < similarity.MOST_COST < similarity.join_cost(330_000, *choose_blocks(330_000, 12))
+    assert similarity.join_cost(10**7, *choose_blocks(10**7, 6)) < similarity.MOST_COST
+    # hundreds of keys a hash on both sides of a join filled the disk at 330,000 hashes
+    monkeypatch.setattr(similarity, "choose_blocks", lambda n, radius: choose_blocks(330_000, radius))
+    rows = spark.range(300).select(F.xxhash64("id").alias("phash"))
+    plan = hamming_pairs(rows, 12)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
 def test_spread_equals_brute_force(spark, monkeypatch):
     rng = random.Random(9)
     signed = lambda c: c - 2**64 if c >= 2**63 else c

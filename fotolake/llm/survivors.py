@@ -6,12 +6,13 @@ all a dependency compares are one candidate for a bundle, the most trusted of th
 0, 1, 2... by trust. A branch-and-bound search picks one candidate per bundle so that the weighted
 ranks are least and the declared functional dependencies hold over the values chosen. A bundle may
 stay empty, at the cost of a candidate of rank `patience`: so a clash costs a field, never the
-survivor, and no candidate of that rank or beyond can be part of a better choice, which bounds the
-search without changing its answer.
+survivor. A candidate of that very rank goes before the empty bundle. One beyond it costs more than
+the empty bundle, which never clashes, so it is part of no best choice, and leaving it out changes
+no answer; that needs weights of 0 at least, and others are refused.
 
-No group is collected: candidates are aggregated with partial results, ranks are cut to the first
-`patience` before the rows of a group meet, and a group reaches the search as at most bundles x
-patience candidates.
+No group is collected: candidates are aggregated with partial results, ranks beyond `patience` go
+before the rows of a group meet, and a group reaches the search as at most bundles x (patience + 1)
+candidates.
 """
 
 from __future__ import annotations
@@ -95,8 +96,8 @@ def _candidates(flat: DataFrame, i: int, b: Bundle, facts: list[str], trust: Seq
     best = mine.groupBy("group_id", *names).agg(F.min("_k").alias("_k"), F.min_by("id", "_k").alias("id"))
     rank = F.lit(0)
     if facts:
-        # only the first ranks of each group leave a task (a window's group limit), so no group meets in one
-        best = best.withColumn("_r", F.row_number().over(Window.partitionBy("group_id").orderBy("_k"))).where(F.col("_r") <= patience)
+        # only ranks up to `patience`, none of them worse than the empty bundle, leave a task (a window's group limit), so no group meets in one
+        best = best.withColumn("_r", F.row_number().over(Window.partitionBy("group_id").orderBy("_k"))).where(F.col("_r") <= patience + 1)
         rank = F.col("_r") - 1
     values = F.array(*[F.col(n) for n in names]) if facts else F.array().cast("array<string>")
     return best.select("group_id", F.lit(i).alias("bundle"), rank.cast("int").alias("rank"), F.col("id").cast("long").alias("id"), values.alias("facts"))
@@ -105,10 +106,13 @@ def _candidates(flat: DataFrame, i: int, b: Bundle, facts: list[str], trust: Seq
 def branch_and_bound(cands: list[list[tuple]], weights: Sequence[float], conflict: Callable, patience: int) -> tuple[list, float]:
     """One candidate (rank, ...) or None per bundle with least weighted rank and no conflict, None costing as rank `patience`.
 
-    Ties go to the lesser ranks, bundle by bundle. A bundle without candidates is None at no cost.
+    Candidates rise by rank, any number of them; weights are 0 at least. Ties go to the lesser ranks,
+    bundle by bundle, then to candidates before None. A bundle without candidates is None at no cost.
     """
     order = sorted(range(len(cands)), key=lambda i: len(cands[i]))
-    best: list = [[None] * len(cands), float("inf"), ()]
+    # None has its place among the ranks: behind it come candidates that cost more
+    options = [sorted([*c, None], key=lambda x: (patience, 1) if x is None else (x[0], 0)) for c in cands]
+    best: list = [[None] * len(cands), float("inf"), (), ()]
     chosen: list = [None] * len(cands)
 
     def go(k: int, cost: float) -> None:
@@ -116,11 +120,12 @@ def branch_and_bound(cands: list[list[tuple]], weights: Sequence[float], conflic
             return
         if k == len(order):
             ranks = tuple(patience if c is None else c[0] for c in chosen)
-            if (cost, ranks) < (best[1], best[2]):
-                best[:] = list(chosen), cost, ranks
+            empty = tuple(c is None for c in chosen)
+            if (cost, ranks, empty) < (best[1], best[2], best[3]):
+                best[:] = list(chosen), cost, ranks, empty
             return
         b = order[k]
-        for c in [*cands[b], None]:
+        for c in options[b]:
             extra = (weights[b] * (patience if c is None else c[0])) if cands[b] else 0.0
             if cost + extra > best[1]:
                 break
@@ -164,9 +169,11 @@ def choose_survivors(flat: DataFrame, bundles: Sequence[Bundle], *, trust: Seque
     expressions should end in a unique one. Empty tables give no rows; extra columns are ignored.
     """
     facts, _ = _compared(bundles, dependencies)
+    if any(not b.weight >= 0 for b in bundles):
+        raise ValueError("weights must be 0 at least")
     flat = cut(flat)  # one narrow row per member, read once per bundle
     found = reduce(DataFrame.unionByName, [_candidates(flat, i, b, facts[i], trust, id_col, patience) for i, b in enumerate(bundles)])
-    packed = found.groupBy("group_id").agg(F.collect_list(F.struct("bundle", "rank", "id", "facts")).alias("c"))  # bundles x patience at most
+    packed = found.groupBy("group_id").agg(F.collect_list(F.struct("bundle", "rank", "id", "facts")).alias("c"))  # bundles x (patience + 1) at most
     if least_members > 1:
         sizes = flat.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_members)
         packed = packed.join(sizes.select("group_id"), "group_id", "left_semi")

@@ -56,6 +56,26 @@ def test_branch_and_bound_equals_enumeration():
         assert tuple(got) == best[1] and abs(cost - best[0][0]) < 1e-9
 
 
+def test_branch_and_bound_takes_any_number_of_candidates():
+    clash = lambda i, a, j, b: a[2] != b[2]
+    many = [(r, 100 + r, "y" if r < 5 else "x") for r in range(9)]
+    # the first that agrees has rank 5: empty is cheaper below that, and only below
+    for patience, pick, cost in ((2, None, 2.0), (4, None, 4.0), (5, many[5], 5.0), (7, many[5], 5.0), (50, many[5], 5.0)):
+        assert s.branch_and_bound([[(0, 1, "x")], many], [10.0, 1.0], clash, patience) == ([(0, 1, "x"), pick], cost)
+    rng = random.Random(3)
+    for _ in range(300):
+        n, patience = rng.randrange(1, 4), rng.randrange(0, 5)
+        cands = [[(r, 10 * i + r, rng.randrange(3)) for r in range(rng.randrange(0, 8))] for i in range(n)]
+        w = [rng.choice([0.0, 1.0, 2.0]) for _ in range(n)]
+        keys = []
+        for combo in itertools.product(*[[*c, None] for c in cands]):
+            if not any(combo[i] and combo[j] and clash(i, combo[i], j, combo[j]) for i in range(n) for j in range(i)):
+                ranks = tuple(c[0] if c else patience for c in combo)
+                keys.append((sum(w[i] * r for i, r in enumerate(ranks) if cands[i]), ranks, tuple(c is None for c in combo), list(combo)))
+        least = min(keys, key=lambda k: k[:3])
+        assert s.branch_and_bound(cands, w, clash, patience) == (least[3], least[0])
+
+
 PAIR = [B("identity", "content_hash is not null", ("content_hash",), 4.0), B("picture", "width is not null and height is not null", ("width", "height"), 1.0)]
 DEPS = [s.Dependency("content_hash", "width")]
 
@@ -77,6 +97,16 @@ def test_a_clash_costs_a_field_and_no_survivor(spark, media):
     assert pick(df, heavy, dependencies=DEPS) == {(1, "picture"): 2}
 
 
+@pytest.mark.parametrize("before, kept", [(7, True), (8, True), (9, False)])
+def test_a_candidate_that_costs_as_much_as_an_empty_bundle_is_kept(spark, media, before, kept):
+    # so many distinct pictures clash before the one of width 50 that the identity vouches for; at rank 8 it ties with an empty bundle
+    rows = [{"content_hash": "h", "width": 50, "size": 9_000}] + [{"size": 900 - i, "width": 1_000 - i, "height": 9} for i in range(before)] + [{"size": 1, "width": 50, "height": 1}] * 2
+    df = flat(media, spark, rows, [(1, list(range(1, len(rows) + 1)))])
+    assert pick(df, PAIR, dependencies=DEPS) == {(1, "identity"): 1} | ({(1, "picture"): before + 2} if kept else {})
+    with pytest.raises(ValueError):
+        pick(df, [PAIR[0], B("picture", PAIR[1].known, PAIR[1].fields, -1.0)], dependencies=DEPS)
+
+
 def test_each_bundle_has_its_trust(spark, media):
     rows = [{"width": 9, "height": 9, "lat": 1.0, "mtime": 5}, {"lat": 2.0, "mtime": 9}, {"lat": 3.0, "mtime": None}]
     df = flat(media, spark, rows, [(1, [1, 2, 3])])
